@@ -4,8 +4,8 @@
    line shape (digits and capitalised words abstracted) is counted, in all, at page edges, and in documents that repeat
    it. Shapes that live at edges and repeat are furniture; a line close to a furniture line of its document is too.
 2. The corpus vocabulary (all words of `text` and the inner words of the scanned lines) decides how the halves of a
-   divided word are joined, and which rare words are misreadings: undoing usual confusions (rn for m, 5 for s) in a rare
-   word must lead to a far more frequent one. Everything on the vocabulary is a join; only the furniture shapes and a
+   divided word are joined, and which rare words are misreadings: a word and its usual misreadings (rn for m, 5 for s)
+   have one skeleton, and a rare word is put right by a far more frequent one of its skeleton. Everything on the vocabulary is a join; only the furniture shapes and a
    bounded list of the most frequent sound words are sent to the workers.
 """
 
@@ -20,15 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vahini.functions.latin import osa
-from vahini.session import spread
-
-# What a recogniser prints -> what the page may have had.
-CONFUSIONS = (
-    ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("9", "g"), ("6", "b"), ("8", "B"), ("3", "e"), ("4", "a"), ("@", "a"), ("!", "i"), ("!", "l"),
-    ("|", "l"), ("$", "s"), ("c", "e"), ("e", "c"), ("b", "h"), ("h", "b"), ("f", "t"), ("t", "f"), ("rn", "m"), ("m", "rn"), ("cl", "d"),
-    ("d", "cl"), ("ri", "n"), ("n", "ri"), ("ii", "u"), ("u", "ii"), ("h", "ti"), ("vv", "w"), ("w", "vv"), ("l", "i"), ("i", "l"), ("li", "h"),
-    ("1", "I"), ("5", "S"), ("0", "O"), ("l", "I"), ("I", "l"), ("n", "u"), ("u", "n"), ("lc", "k"), ("q", "g"), ("a", "o"), ("o", "a"), ("nn", "m"),
-)
+from vahini.session import cut, spread
+
+# Characters that recognisers take for each other, each with the one that stands for its class.
+LIKE = {"1": "i", "!": "i", "|": "i", "l": "i", "0": "o", "@": "a", "5": "s", "$": "s", "9": "g", "c": "e", "8": "h", "6": "h", "b": "h", "f": "t"}
+# Letters taken for two, put together after the classes (ei stands for cl). Pairs can overlap, so there are
+# several orders; a word and its misreading agree in one of them.
+PAIRS = {"ri": "n", "rn": "m", "ei": "d", "ii": "u", "ti": "h", "vv": "w"}
+ORDERS = (("ri", "rn", "ei", "ii", "ti", "vv"), ("ii", "ri", "rn", "ei", "ti", "vv"), ("ti", "ii", "ri", "rn", "ei", "vv"))
 # Letters in a number -> digits.
 IN_NUMBERS = str.maketrans("lIOoSZBbgq|", "11005286991")
 HYPHENS = "-‐‑­¬"
@@ -81,24 +80,32 @@ def furniture(lines: list[str], shapes: frozenset[str]) -> set[int]:
             sure.add(k)
         elif k in edges and len(text) >= 12 and any(len(s) >= 12 and osa(shape(lines[k]), s, 2) <= 2 for s in shapes):
             sure.add(k)
-    return found | sure
-
-
-def undo(word: str) -> set[str]:
-    """What the page may have had, after one or two confusions. A digit or symbol inside a word always has to go."""
-    out: set[str] = set()
-    level = {word}
-    for _ in range(2):
-        nxt = set()
-        for w in level:
-            for bad, good in CONFUSIONS:
-                at = w.find(bad)
-                while at >= 0:
-                    nxt.add(w[:at] + good + w[at + len(bad) :])
-                    at = w.find(bad, at + 1)
-        out |= nxt
-        level = nxt if len(word) <= 14 else {w for w in nxt if _MIXED.search(w)}
-    return {w for w in out - {word} if w and not _MIXED.search(w)}
+    return found | sure | (set() if found else bare_numbers(lines, full, sure))
+
+
+def bare_numbers(lines: list[str], full: list[int], sure: set[int]) -> set[int]:
+    """Page numbers that stand alone: beside furniture or at the end, each one more than the one before. Rows of a table
+    (under or over another number) are none, unless furniture follows."""
+    lone = {k: int(lines[k].strip()) for k in full if re.fullmatch(r"[0-9०-९]{1,4}", lines[k].strip())}
+    at = {k: p for p, k in enumerate(full)}
+
+    def beside(k: int, by: int) -> int | None:
+        p = at[k] + by
+        return full[p] if 0 <= p < len(full) else None
+
+    might = [k for k in lone if beside(k, 1) is None or beside(k, 1) in sure or beside(k, -1) in sure or (beside(k, -1) not in lone and beside(k, 1) not in lone)]
+    best: list[int] = []
+    for start in range(len(might)):
+        chain = [might[start]]
+        for k in might[start + 1 :]:
+            if lone[k] == lone[chain[-1]] + 1:
+                chain.append(k)
+        if len(chain) > len(best):
+            best = chain
+    backed = [k for k in best if beside(k, 1) in sure or beside(k, -1) in sure]
+    if len(best) >= 2 and (backed or beside(best[-1], 1) is None):
+        return set(best)
+    return set(backed) if len(best) == 1 else set()
 
 
 def number(word: str) -> str | None:
@@ -159,33 +166,47 @@ def _strip(c: Column) -> Column:
 
 
 def vocabulary(documents: DataFrame) -> DataFrame:
-    """(word, n): words of ``text``, and of the scanned lines those that are neither first nor last."""
-    inner = F.flatten(F.transform(F.split("ocr_text", "\n"), lambda x: F.slice(F.split(F.trim(x), r"\s+"), 2, F.greatest(F.size(F.split(F.trim(x), r"\s+")) - 2, F.lit(0)))))
-    every = F.concat(F.coalesce(F.split("text", r"\s+"), F.array()), F.coalesce(inner, F.array()))
-    words = documents.select(F.explode(every).alias("w")).select(_strip(F.col("w")).alias("word")).filter("word <> ''")
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n, scanned): n counts words of ``text`` and the scanned lines' words that are neither first nor last (those
+    may be halves); scanned counts all words of scanned lines."""
+    tokens = F.filter(F.split("line", r"\s+"), lambda x: x != "")
+    lines = documents.select(F.explode(F.split("ocr_text", "\n")).alias("line")).select(tokens.alias("t"))
+    scanned = lines.select(F.posexplode("t").alias("at", "w"), F.size("t").alias("of")).select(
+        "w", ((F.col("at") > 0) & (F.col("at") < F.col("of") - 1)).cast("int").alias("n"), F.lit(1).alias("scanned")
+    )
+    plain = documents.select(F.explode(F.split("text", r"\s+")).alias("w")).select("w", F.lit(1).alias("n"), F.lit(0).alias("scanned"))
+    words = plain.unionByName(scanned).groupBy("w").agg(F.sum("n").alias("n"), F.sum("scanned").alias("scanned"))
+    stripped = words.select(_strip(F.col("w")).alias("word"), "n", "scanned").filter("word <> ''")
+    return stripped.groupBy("word").agg(F.sum("n").alias("n"), F.sum("scanned").alias("scanned"))
 
 
-def misreadings(vocab: DataFrame) -> DataFrame:
-    """(word, fixed, capital): rare words with the far more frequent word behind them; capital: the same, beginning a sentence."""
-    looks = vocab.filter(F.col("word").rlike(r"^[A-Za-z0-9@!|$'-]+$") & F.col("word").rlike("[A-Za-z]{2}") & (F.length("word") <= 30))
+def skeletons(word: Column) -> Column:
+    """One for each order, as "order:skeleton": the same for a word and its usual misreadings."""
+    classes = F.translate(F.lower(word), "".join(LIKE), "".join(LIKE.values()))
+    out = []
+    for k, order in enumerate(ORDERS):
+        s = classes
+        for two in order:
+            s = F.replace(s, F.lit(two), F.lit(PAIRS[two]))
+        out.append(F.concat(F.lit(f"{k}:"), s))
+    return F.array(*out)
 
-    def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                rows = [(w, n, bool(_MIXED.search(w)), g) for w, n in zip(part["word"], part["n"]) for g in undo(w)]
-                yield pd.DataFrame(rows, columns=["word", "n", "mixed", "guess"])
-
-    guesses = spread(looks).mapInPandas(guess, "word string, n bigint, mixed boolean, guess string")
-    right = vocab.select(F.col("word").alias("guess"), F.col("n").alias("m"))
-    good = guesses.join(right, "guess").filter((F.col("m") >= TIMES * F.col("n")) | (F.col("mixed") & (F.col("m") >= 1)))
-    order = F.struct("m", F.col("guess"))
-    first = F.substring("guess", 1, 1)
-    big = first != F.lower(first)
-    return good.groupBy("word").agg(
-        F.max_by("guess", order).alias("fixed"), F.max_by("guess", F.when(big, order)).alias("capital"), F.max_by("guess", F.when(~big, order)).alias("small")
-    )
+
+def misreadings(vocab: DataFrame) -> DataFrame:
+    """(word, fixed, capital, small): scanned words with the far more frequent word of the same skeleton, in all and by the case
+    of its first letter. A word with a digit or symbol beside a letter needs no such distance."""
+    latin = vocab.filter(F.col("word").rlike(r"^[A-Za-z0-9@!|$'-]+$") & F.col("word").rlike("[A-Za-z]") & (F.length("word") > 1)).select(
+        "word", F.greatest("n", F.lit(1)).alias("n"), "scanned", F.explode(skeletons(F.col("word"))).alias("skeleton"), F.col("word").rlike(r"[A-Za-z][0-9@!|$]|[0-9@!|$][A-Za-z]").alias("mixed")
+    )
+    first = F.substring("word", 1, 1)
+    sound, order = ~F.col("mixed"), F.struct("n", "word")
+    best = latin.groupBy("skeleton").agg(
+        F.max_by("word", F.when(sound, order)).alias("fixed"), F.max(F.when(sound, F.col("n"))).alias("m"),
+        F.max_by("word", F.when(sound & (first != F.lower(first)), order)).alias("capital"), F.max_by("word", F.when(sound & (first == F.lower(first)), order)).alias("small"),
+    )
+    rare = latin.filter("scanned > 0").join(best.filter("m IS NOT NULL"), "skeleton").filter("lower(word) <> lower(fixed)")
+    rare = rare.filter((F.col("m") >= TIMES * F.col("n")) | F.col("mixed"))
+    pick = F.max_by(F.struct("fixed", "capital", "small"), F.struct("m", "fixed", "skeleton"))
+    return rare.groupBy("word").agg(pick.alias("p")).select("word", "p.*")
 
 
 def repairs(documents: DataFrame) -> DataFrame:
@@ -197,8 +218,8 @@ def repairs(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     scans = spread(documents.select("doc_id", "ocr_text").filter("ocr_text IS NOT NULL AND trim(ocr_text) <> ''"))
     shapes = spark.sparkContext.broadcast(_counted(scans))
-    vocab = vocabulary(documents)
-    wrong = misreadings(vocab)
+    vocab = cut(vocabulary(documents))
+    wrong = cut(misreadings(vocab))
     sound = vocab.join(wrong, "word", "left_anti").orderBy(F.desc("n"), "word").limit(SOUND_WORDS)
     fine = spark.sparkContext.broadcast(frozenset(r.word for r in sound.select("word").collect()))
 
@@ -233,7 +254,7 @@ def repairs(documents: DataFrame) -> DataFrame:
                             rows.append((doc, k + 1, "word", word, "", starts))
             yield pd.DataFrame(rows, columns=["doc_id", "line_no", "kind", "a", "b", "starts"])
 
-    found = scans.mapInPandas(read, "doc_id bigint, line_no int, kind string, a string, b string, starts boolean")
+    found = cut(scans.mapInPandas(read, "doc_id bigint, line_no int, kind string, a string, b string, starts boolean"))
     done = found.filter("kind IN ('furniture', 'misread')").select("doc_id", "line_no", "kind", F.col("a").alias("fixed"))
     words = (
         found.filter("kind = 'word'")

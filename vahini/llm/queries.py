@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vahini.llm import abuse, leakage, mixing, places, scans, survivors
+from vahini.llm import abuse, leakage, linkage, mixing, places, scans, survivors
 from vahini.session import table
 
 
@@ -22,6 +22,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repairs(table(spark, sf_dir, "documents"))
 
 
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links with score and confidence."""
+    return linkage.link(*(table(spark, sf_dir, t) for t in ("mjp_projects", "tenders", "place_ref")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_links(spark, sf_dir).select("project_id", "row_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.tender_survivors(table(spark, sf_dir, "tenders"), table(spark, sf_dir, "portals"))
 
@@ -70,7 +79,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p6_found": p6_found, "p6_consistent": p6_consistent,
+    "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_consistent": p6_consistent,
     "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p10_scores": p10_scores, "p10_found": p10_found, "p10_rates": p10_rates,
 }

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vahini.llm import abuse, leakage, linkage, mixing, places, scans, survivors
+from vahini.llm import abuse, leakage, linkage, mixing, places, scans, survivors, variants
 from vahini.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.same_firm_pairs(table(spark, sf_dir, "contractors"))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contractors that stand under several names, with the least id of their group."""
+    g = variants.groups(table(spark, sf_dir, "contractors"))
+    return g.join(g.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("n_names")), "root").select("id", "group_id", "n_names")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.map_places(table(spark, sf_dir, "tenders"), table(spark, sf_dir, "place_ref"))
 
@@ -79,7 +89,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_consistent": p6_consistent,
+    "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_consistent": p6_consistent,
     "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p10_scores": p10_scores, "p10_found": p10_found, "p10_rates": p10_rates,
 }

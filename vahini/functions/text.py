@@ -33,3 +33,63 @@ def is_filler(c: Column) -> Column:
 def known(c: Column) -> Column:
     """The value as typed, or NULL where it is a filler."""
     return F.when(~is_filler(c), c)
+
+
+# Legal forms and forms of address that are no part of a name.
+LEGAL_FORMS = r"(?i)\b(private|pvt|limited|ltd|llp|co|company|inc|corp|and|m/?s|messrs|shri|smt|mr|mrs|dr)\b\.?"
+# What comes before a cell that a spreadsheet would run as a formula.
+FORMULA_START = r"^[=+\-@\t\r]"
+
+
+def clean(c: Column) -> Column:
+    """Dashes, quotes and odd spaces in their plain form; single spaces."""
+    return squeeze(F.translate(c, "–—−‐‑‘’“”", "-----''\"\""))
+
+
+def normal_org(c: Column) -> Column:
+    return squeeze(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}]+", " "))
+
+
+def normal_name(c: Column) -> Column:
+    """Lower case without legal forms, forms of address and punctuation; the whole name where nothing would be left."""
+    short = squeeze(F.regexp_replace(F.regexp_replace(F.lower(c), LEGAL_FORMS, " "), r"[^\p{L}\p{M}\p{N}]+", " "))
+    return F.coalesce(F.nullif(short, F.lit("")), normal_org(c))
+
+
+def word_set(c: Column) -> Column:
+    """Distinct lower-case words, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(normal_org(c), " "), lambda w: w != "")))
+
+
+def set_ratio(a: Column, b: Column) -> Column:
+    """0 to 100: 100 where one word set holds the other, else the Dice share of the words."""
+    x, y = word_set(a), word_set(b)
+    both, least = F.size(F.array_intersect(x, y)), F.least(F.size(x), F.size(y))
+    return F.when(least == 0, 0.0).when(both == least, 100.0).otherwise(F.round(200.0 * both / (F.size(x) + F.size(y)), 4))
+
+
+def first_rule(c: Column, rules: list[tuple[str, str]], default: str) -> Column:
+    """The label of the first pattern that matches, in order."""
+    out = F.lit(default)
+    for pattern, label in reversed(rules):
+        out = F.when(c.rlike(pattern), F.lit(label)).otherwise(out)
+    return F.when(c.isNull(), F.lit(default)).otherwise(out)
+
+
+def uuid5(namespace: str, *parts: Column) -> Column:
+    """Name-based UUID (version 5) of the parts joined by '|', equal to Python's; NULL parts count as ''."""
+    name = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    part = lambda i, n: F.substring(h, i, n)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def safe_cell(c: Column) -> Column:
+    """A text that no spreadsheet takes for a formula."""
+    return F.when(c.rlike(FORMULA_START), F.concat(F.lit("'"), c)).otherwise(c)
+
+
+def org_chain(c: Column) -> Column:
+    """Segments of an organisation chain separated by '||', empty ones left out."""
+    return F.filter(F.transform(F.split(c, r"\|\|"), F.trim), lambda x: x != "")

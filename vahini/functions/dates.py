@@ -116,3 +116,21 @@ def readings(c: Column, default_zone: Column | str = "+05:30") -> Column:
 def instant_us(c: Column, default_zone: Column | str = "+05:30") -> Column:
     """The one reading that follows the conventions, in microseconds; NULL where there is none."""
     return F.try_element_at(F.filter(readings(c, default_zone), lambda r: r["rule"]), F.lit(1))["us"]
+
+
+PORTAL_FORMATS = ("d-MMM-yyyy h:mm a", "d-MMM-yyyy H:mm", "d-MMM-yyyy", "d-M-yyyy", "d/M/yyyy", "yyyy-M-d")
+
+
+def portal_time(c: Column) -> Column:
+    """The first of the portal formats that reads the text, as local time without a zone; NULL if none does."""
+    return F.coalesce(*[F.call_function("try_to_timestamp", F.trim(c), F.lit(f)).cast("timestamp_ntz") for f in PORTAL_FORMATS])
+
+
+def code_date(c: Column) -> Column:
+    """The date in the first eight digits of a document code, NULL where they are none."""
+    return F.call_function("try_to_timestamp", F.substring(c, 1, 8), F.lit("yyyyMMdd")).cast("date")
+
+
+def days_close(a: Column, b: Column, days: int = 1) -> Column:
+    """At most so many days apart; two unknown days are close, one isn't."""
+    return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(F.abs(F.datediff(a, b)) <= days)

@@ -37,8 +37,12 @@ def _diff(snap: np.ndarray, key: np.ndarray, rest: np.ndarray, late: np.ndarray,
         changed[there] = old_row[at[there]] != new_row[there]
         gone = _find(new, old) < 0
         for what, keys in (("added", new[~there]), ("changed", new[changed]), ("removed", old[gone])):
-            out.append(pd.DataFrame({"snapshot_id": s, "k": keys["k"], "r": keys["r"], "change_kind": what}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"snapshot_id": [], "k": [], "r": [], "change_kind": []})
+            out.append((s, what, keys))
+    every = np.concatenate([k for _, _, k in out]) if out else np.empty(0, kind)
+    lengths = [len(k) for _, _, k in out]
+    # One column of Python strings: pieces put together by pandas would be a chunked array, which Spark does not take.
+    kinds = pd.Series([w for (_, w, _), n in zip(out, lengths) for _ in range(n)], dtype=object)
+    return pd.DataFrame({"snapshot_id": np.repeat([s for s, _, _ in out], lengths).astype("i4"), "k": every["k"], "r": every["r"], "change_kind": kinds})
 
 
 def _find(within: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -125,7 +125,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, blo
     blocks = max(1, -(-ids.count() // block))
     parts = []
     for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").filter("text IS NOT NULL").collect()
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").collect()
         sent = spark.sparkContext.broadcast([tuple(r) for r in rows])
 
         def counted(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:

@@ -80,7 +80,8 @@ def furniture(lines: list[str], shapes: frozenset[str]) -> set[int]:
             sure.add(k)
         elif k in edges and len(text) >= 12 and any(len(s) >= 12 and osa(shape(lines[k]), s, 2) <= 2 for s in shapes):
             sure.add(k)
-    return found | sure | (set() if found else bare_numbers(lines, full, sure))
+    numbered = found or any(re.search(r"\bPage\s*\d+\s*$", lines[k]) for k in sure)
+    return found | sure | (set() if numbered else bare_numbers(lines, full, sure))
 
 
 def bare_numbers(lines: list[str], full: list[int], sure: set[int]) -> set[int]:
@@ -105,7 +106,11 @@ def bare_numbers(lines: list[str], full: list[int], sure: set[int]) -> set[int]:
     backed = [k for k in best if beside(k, 1) in sure or beside(k, -1) in sure]
     if len(best) >= 2 and (backed or beside(best[-1], 1) is None):
         return set(best)
-    return set(backed) if len(best) == 1 else set()
+    if len(best) != 1 or not backed:
+        return set()
+    above = beside(best[0], -1)
+    in_table = above is not None and above not in sure and len(lines[above].strip()) <= 25
+    return set() if in_table else set(backed)
 
 
 def number(word: str) -> str | None:

@@ -92,4 +92,4 @@ def safe_cell(c: Column) -> Column:
 
 def org_chain(c: Column) -> Column:
     """Segments of an organisation chain separated by '||', empty ones left out."""
-    return F.filter(F.transform(F.split(c, r"\|\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\|\|"), lambda x: F.trim(x)), lambda x: x != "")

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 class _Rows(HTMLParser):
@@ -54,13 +55,13 @@ def _parse(page: str | None) -> _Rows:
     return p
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
 def table_rows(page: pd.Series) -> pd.Series:
     """Rows of cells of all tables of a page; pages without tables, NULL and empty pages have none."""
     return page.map(lambda x: [r for r in _parse(x).rows if r])
 
 
-@F.pandas_udf("array<struct<text:string,href:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("text", StringType()), StructField("href", StringType())])))
 def page_links(page: pd.Series) -> pd.Series:
     return page.map(lambda x: [{"text": t, "href": h} for t, h in _parse(x).links])
 

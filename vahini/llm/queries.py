@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vahini.functions.text import FILLERS
 from vahini.llm import abuse, leakage, linkage, mixing, places, scans, survivors, variants
 from vahini.session import table
 
@@ -94,4 +95,38 @@ QUERIES = {
     "p10_scores": p10_scores, "p10_found": p10_found, "p10_rates": p10_rates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_FILLERS = ", ".join("'" + f + "'" for f in FILLERS)
+_KNOWN = "({0} IS NOT NULL AND lower(trim({0})) NOT IN (" + _FILLERS + "))"
+
+
+def _best(field: str, present: str, order: str) -> str:
+    return (
+        f"SELECT group_id, '{field}' AS field, row_id FROM members WHERE {present} "
+        f"QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY {order}last_seen_at DESC NULLS LAST, row_id) = 1"
+    )
+
+
+_GROUPS = """WITH RECURSIVE t AS (SELECT DISTINCT ON (row_id) * FROM tenders),
+    own AS (SELECT row_id, source_portal || chr(1) || source_tender_id AS key FROM t WHERE trim(source_portal) <> '' AND trim(source_tender_id) <> ''),
+    named AS (SELECT row_id, unnest(list_transform(from_json(extra_source_ids, '["JSON"]'), lambda x: CASE WHEN json_type(x) = 'OBJECT' THEN json_extract_string(x, '$.portal') || chr(1) || json_extract_string(x, '$.id')
+        ELSE regexp_replace(json_extract_string(x, '$'), '^([^:]*):', '\\1' || chr(1)) END)) AS key FROM t WHERE extra_source_ids IS NOT NULL),
+    links AS (SELECT a.row_id AS a, b.row_id AS b FROM own a JOIN own b ON a.key = b.key UNION SELECT a.row_id, b.row_id FROM t a JOIN t b ON a.dedupe_hash = b.dedupe_hash WHERE trim(a.dedupe_hash) <> ''
+        UNION SELECT a.row_id, b.row_id FROM named a JOIN own b ON a.key = b.key UNION SELECT b.row_id, a.row_id FROM named a JOIN own b ON a.key = b.key),
+    reach AS (SELECT row_id AS node, row_id AS other FROM t UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+    groups AS (SELECT node AS row_id, min(other) AS group_id FROM reach GROUP BY 1 HAVING count(*) > 1),
+    members AS (SELECT t.*, g.group_id, coalesce(p.trust_rank, 2147483647) AS trust FROM t JOIN groups g ON t.row_id = g.row_id LEFT JOIN portals p ON t.source_portal = p.source_portal) """
+
+ORACLE_SQL: dict[str, str] = {
+    "p6_found": _GROUPS
+    + " UNION ALL ".join(
+        f"({q})"
+        for q in (
+            _best("description", _KNOWN.format("description"), "length(trim(description)) DESC, "),
+            _best("estimated_value_inr", "estimated_value_inr <> 0", "trust, "),
+            _best("emd_inr", "emd_inr <> 0", "trust, "),
+            _best("bid_submission_end", _KNOWN.format("bid_submission_end"), ""),
+            _best("status", _KNOWN.format("status"), ""),
+            _best("district", _KNOWN.format("district"), ""),
+        )
+    )
+}

@@ -1,10 +1,10 @@
 import pytest
 from compare import duck, rows_of, sql_rows
 
-from vahini.queries import analytics, operators, problems, streams
+from vahini.queries import analytics, listing, operators, problems, streams
 
-QUERIES = {**analytics.QUERIES, **operators.QUERIES, **problems.QUERIES, **streams.QUERIES}
-SQL = {**analytics.ORACLE_SQL, **operators.ORACLE_SQL, **problems.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES = {**analytics.QUERIES, **operators.QUERIES, **listing.QUERIES, **problems.QUERIES, **streams.QUERIES}
+SQL = {**analytics.ORACLE_SQL, **operators.ORACLE_SQL, **listing.ORACLE_SQL, **problems.ORACLE_SQL, **streams.ORACLE_SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -161,25 +161,25 @@ def retenders(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "k02_upsert_snapshots",
-    """WITH o AS (SELECT DISTINCT ON (source_portal, source_tender_id) source_portal, source_tender_id, min(last_seen_at) OVER (PARTITION BY source_portal, source_tender_id) AS first_seen, last_seen_at FROM tender_snapshots WHERE snapshot_id = 1 ORDER BY source_portal, source_tender_id, last_seen_at DESC NULLS LAST),
-        n AS (SELECT source_portal, source_tender_id, min(last_seen_at) AS first_seen, max(last_seen_at) AS last_seen_at FROM tender_snapshots WHERE snapshot_id = 2 GROUP BY 1, 2)
+    """WITH o AS (SELECT DISTINCT ON (source_portal, source_tender_id) source_portal, source_tender_id, min(last_seen_at) OVER (PARTITION BY source_portal, source_tender_id) AS first_seen, last_seen_at FROM tender_snapshots WHERE snapshot_id < 6 ORDER BY source_portal, source_tender_id, last_seen_at DESC NULLS LAST),
+        n AS (SELECT source_portal, source_tender_id, min(last_seen_at) AS first_seen, max(last_seen_at) AS last_seen_at FROM tender_snapshots WHERE snapshot_id = 6 GROUP BY 1, 2)
         SELECT coalesce(o.source_portal, n.source_portal) AS source_portal, coalesce(o.source_tender_id, n.source_tender_id) AS source_tender_id, coalesce(o.first_seen, n.first_seen) AS first_seen,
         CASE WHEN n.source_tender_id IS NOT NULL OR n.last_seen_at IS NOT NULL THEN n.last_seen_at ELSE o.last_seen_at END AS last_seen_at FROM o FULL JOIN n ON o.source_portal IS NOT DISTINCT FROM n.source_portal AND o.source_tender_id IS NOT DISTINCT FROM n.source_tender_id""",
 )
 def upsert_snapshots(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "tender_snapshots")
-    per = lambda k: s.filter(F.col("snapshot_id") == k).groupBy("source_portal", "source_tender_id").agg(F.min("last_seen_at").alias("first_seen"), F.max("last_seen_at").alias("last_seen_at"))
-    return upsert.merge_upsert(per(1), per(2), ["source_portal", "source_tender_id"], keep_first=["first_seen"])
+    per = lambda k: s.filter(k).groupBy("source_portal", "source_tender_id").agg(F.min("last_seen_at").alias("first_seen"), F.max("last_seen_at").alias("last_seen_at"))
+    return upsert.merge_upsert(per("snapshot_id < 6"), per("snapshot_id = 6"), ["source_portal", "source_tender_id"], keep_first=["first_seen"])
 
 
 @query(
     "k05_new_keys",
-    """SELECT DISTINCT source_portal, source_tender_id FROM tender_snapshots n WHERE snapshot_id = 2 AND NOT EXISTS (SELECT 1 FROM tender_snapshots o WHERE o.snapshot_id = 1 AND o.source_portal IS NOT DISTINCT FROM n.source_portal AND o.source_tender_id IS NOT DISTINCT FROM n.source_tender_id)""",
+    """SELECT DISTINCT source_portal, source_tender_id FROM tender_snapshots n WHERE snapshot_id = 6 AND NOT EXISTS (SELECT 1 FROM tender_snapshots o WHERE o.snapshot_id < 6 AND o.source_portal IS NOT DISTINCT FROM n.source_portal AND o.source_tender_id IS NOT DISTINCT FROM n.source_tender_id)""",
 )
 def new_keys(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "tender_snapshots").select("snapshot_id", "source_portal", "source_tender_id")
     keys = ["source_portal", "source_tender_id"]
-    return upsert.new_rows(s.filter("snapshot_id = 1"), s.filter("snapshot_id = 2").select(*keys).distinct(), keys)
+    return upsert.new_rows(s.filter("snapshot_id < 6"), s.filter("snapshot_id = 6").select(*keys).distinct(), keys)
 
 
 @query(

@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: From this size a task on, an input has tasks enough by itself; sizes of at least UNKNOWN are the optimiser's "don't know".
+TASK_BYTES = 128 << 20
+UNKNOWN = 1 << 62
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -41,12 +44,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Round-robin a scan that has fewer partitions than the cluster has cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an input of an expensive per-row stage that is too small to have a task for every core.
 
-    A small compressed file arrives as one task, which would leave the cores idle in an expensive
-    per-row stage. Larger inputs already have more splits than cores and pass unchanged.
+    A small compressed file arrives as one task, and AQE puts small shuffles together into one, which would leave the
+    cores idle. The optimiser's size tells, without running anything; larger inputs pass unchanged.
     """
     spark = df.sparkSession
-    want = least or spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if cores * TASK_BYTES <= size < UNKNOWN else df.repartition(2 * cores)

@@ -27,3 +27,10 @@ def test_rows(spark):
     assert got == {i: p for i, (_, p) in enumerate(CASES)}
     assert map_places(spark.createDataFrame([], schema), ref).count() == 0
     assert {r.place_id for r in map_places(spark.createDataFrame(rows, schema), ref.limit(0)).collect()} == {0}
+
+
+def test_a_long_list_is_joined(spark, small):
+    t, ref = spark.read.parquet(f"{small}/tenders.parquet"), spark.read.parquet(f"{small}/place_ref.parquet")
+    sent = {tuple(r) for r in map_places(t, ref).collect()}
+    joined = {tuple(r) for r in map_places(t, ref, most=5).collect()}
+    assert sent == joined and len(sent) > 50

@@ -13,7 +13,6 @@ right; the bins are made monotonous.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vahini.llm.places import MOST_ENTRIES, Reference
+from vahini.llm.places import map_places
 from vahini.llm.works import kind, phase, side, title_parts, village
 from vahini.session import cut, spread
 
@@ -57,22 +56,16 @@ def block_keys(bits: list[int]) -> list[str]:
     return out
 
 
-def _reference(places: DataFrame):
-    rows = places.select("place_id", "district", "taluka", "code", "former_name", "name_mr").limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} reference entries")
-    return places.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+def located(rows: DataFrame, places: DataFrame, key: str) -> DataFrame:
+    """(key, d, t): the entries of the district and of the taluka that location_raw, district and taluka name, 0 where unknown."""
+    own = places.filter("taluka IS NULL").select("district", F.col("place_id").alias("d"))
+    entry = places.join(own, "district").select("place_id", "d", F.when(F.col("taluka").isNotNull(), F.col("place_id")).otherwise(0).alias("t"))
+    named = map_places(rows, places, key).join(entry, "place_id", "left")
+    return named.select(key, F.coalesce("d", F.lit(0)).alias("d"), F.coalesce("t", F.lit(0)).alias("t"))
 
 
-def _located(ref: Reference, parent: dict[int, tuple[int, int | None]], location: str | None, district: str | None, taluka: str | None) -> tuple[int, int]:
-    """(district entry, taluka entry), 0 where unknown."""
-    got = ref.place(location, district, taluka)
-    return parent.get(got, (0, 0))
-
-
-def _parents(rows: list[tuple]) -> dict[int, tuple[int, int]]:
-    own = {r[1]: r[0] for r in rows if r[2] is None}
-    return {r[0]: (own.get(r[1], 0), r[0] if r[2] is not None else 0) for r in rows}
+def _with_place(rows: DataFrame, at: DataFrame, key: str) -> DataFrame:
+    return rows.join(at, key, "left").withColumns({"d": F.coalesce("d", F.lit(0)), "t": F.coalesce("t", F.lit(0))})
 
 
 _RECORD = "id string, v string, side string, kind string, phase int, district bigint, taluka bigint, low decimal(18,2), high decimal(18,2), bits array<bigint>"
@@ -80,21 +73,17 @@ _RECORD = "id string, v string, side string, kind string, phase int, district bi
 
 def project_parts(projects: DataFrame, places: DataFrame) -> DataFrame:
     """A row per project and spelling of its place (original title, English title, municipality)."""
-    sent = _reference(places)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ref, parent = Reference(sent.value), _parents(sent.value)
         for b in batches:
             out = []
-            for pid, original, english, town, district, office, approved, revised, works in zip(*(b[c] for c in b.columns)):
+            for pid, original, english, town, approved, revised, works, d, t in zip(*(b[c] for c in b.columns)):
                 titles = [x for x in (title_parts(original), title_parts(english)) if x]
                 works = list(works) if works is not None else []
                 k = titles[0][2] if titles else next((kind(w)[0] for w in works if w and kind(w)[0]), "")
                 if not k:
                     continue
                 p = titles[0][3] if titles else max((phase(w) for w in works if w), default=0)
-                taluka = re.search(r"\b(?:Tal|Taluka|Tq)\b\.?\s*([\wऀ-ॿ. ]+)$", english or "")
-                d, t = _located(ref, parent, (office or "").replace("Sub-division", ""), district, taluka.group(1) if taluka else None)
                 names = {(x[0], x[1]) for x in titles}
                 if town and len(village(town)) >= 3:
                     names.add((village(town), side(town)))
@@ -103,28 +92,31 @@ def project_parts(projects: DataFrame, places: DataFrame) -> DataFrame:
                     out.append((pid, v, s, k, p, d, t, min(costs, default=None), max(costs, default=None), vector(v)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _RECORD.split(", ")])
 
-    columns = ["id", "title_original", "title_en", "municipality", "district", "mjp_office", "approved_cost_inr", "revised_cost_inr", "works_en"]
-    return spread(projects.dropDuplicates(["id"]).select(*columns)).mapInPandas(read, _RECORD)
+    one = projects.dropDuplicates(["id"])
+    office = F.regexp_replace("mjp_office", "Sub-division", "").alias("location_raw")
+    taluka = F.regexp_extract("title_en", r"\b(?:Tal|Taluka|Tq)\b\.?\s*([\wऀ-ॿ. ]+)$", 1).alias("taluka")
+    at = located(one.select("id", office, "district", taluka), places, "id")
+    columns = ["id", "title_original", "title_en", "municipality", "approved_cost_inr", "revised_cost_inr", "works_en"]
+    return spread(_with_place(one.select(*columns), at, "id")).mapInPandas(read, _RECORD)
 
 
 def tender_parts(tenders: DataFrame, places: DataFrame) -> DataFrame:
     """A row per tenders row with a place and a kind of work in its title."""
-    sent = _reference(places)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ref, parent = Reference(sent.value), _parents(sent.value)
         for b in batches:
             out = []
-            for row_id, title, location, district, taluka, cost in zip(*(b[c] for c in b.columns)):
+            for row_id, title, cost, d, t in zip(*(b[c] for c in b.columns)):
                 parts = title_parts(title)
                 if parts:
                     v, s, k, p = parts
                     cost = cost if cost is not None and cost > 0 else None
-                    out.append((str(row_id), v, s, k, p, *_located(ref, parent, location, district, taluka), cost, cost, vector(v)))
+                    out.append((str(row_id), v, s, k, p, d, t, cost, cost, vector(v)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _RECORD.split(", ")])
 
-    columns = ["row_id", "title", "location_raw", "district", "taluka", "estimated_value_inr"]
-    return spread(tenders.dropDuplicates(["row_id"]).select(*columns)).mapInPandas(read, _RECORD)
+    one = tenders.dropDuplicates(["row_id"])
+    at = located(one.select("row_id", "location_raw", "district", "taluka"), places, "row_id")
+    return spread(_with_place(one.select("row_id", "title", "estimated_value_inr"), at, "row_id")).mapInPandas(read, _RECORD)
 
 
 def _keyed(parts: DataFrame, name: str) -> DataFrame:

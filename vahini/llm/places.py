@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vahini.functions.latin import deletes, fold, osa, romanise
-from vahini.session import spread
+from vahini.session import cut, spread
 
 #: Reference entries that may be sent to every worker (about 100 bytes and 60 delete keys each).
 MOST_ENTRIES = 50_000
@@ -203,18 +203,23 @@ def romanise_cues(text: str) -> str:
     return romanise(text)
 
 
-def map_places(rows: DataFrame, reference: DataFrame, key: str = "row_id") -> DataFrame:
+FIELDS = ["location_raw", "district", "taluka"]
+COLUMNS = ["place_id", "district", "taluka", "code", "former_name", "name_mr"]
+
+
+def map_places(rows: DataFrame, reference: DataFrame, key: str = "row_id", most: int = MOST_ENTRIES) -> DataFrame:
     """(key, place_id) for every row whose location_raw, district or taluka is neither NULL nor blank.
 
     ``place_id`` is 0 where no entry is named (fillers, places outside the list). Whole-row repeats count once; fields
-    that are NULL or blank say nothing; an empty reference gives 0 everywhere.
+    that are NULL or blank say nothing; an empty reference gives 0 everywhere. A list of more than ``most`` entries isn't
+    sent out: rows then meet the entries that share a token with them in a join.
     """
-    fields = ["location_raw", "district", "taluka"]
-    todo = rows.dropDuplicates([key]).select(key, *fields).filter(" or ".join(f"trim({f}) <> ''" for f in fields))
-    columns = ["place_id", "district", "taluka", "code", "former_name", "name_mr"]
-    got = reference.select(*columns).limit(MOST_ENTRIES + 1).collect()
-    if len(got) > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} reference entries")
+    todo = rows.dropDuplicates([key]).select(key, *FIELDS).filter(" or ".join(f"trim({f}) <> ''" for f in FIELDS))
+    entries = reference.select(*COLUMNS)
+    got = entries.limit(most + 1).collect()
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, place_id bigint"
+    if len(got) > most:
+        return _by_join(todo, entries, key, schema)
     sent = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in got])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,4 +227,71 @@ def map_places(rows: DataFrame, reference: DataFrame, key: str = "row_id") -> Da
         for b in batches:
             yield pd.DataFrame({key: b[key], "place_id": [ref.place(*v) for v in zip(b["location_raw"], b["district"], b["taluka"])]})
 
-    return spread(todo).mapInPandas(read, f"{key} bigint, place_id bigint")
+    return spread(todo).mapInPandas(read, schema)
+
+
+def _token_keys(word: str) -> set[str]:
+    """Keys under which a token finds the names that ``Reference.repair`` may take it for."""
+    s = fold(word)
+    out = {"c:" + s, "c:" + word.strip(".").lower()}
+    if len(s) >= 3:
+        out |= deletes(s, 2 if len(s) >= 7 else 1)
+        if word.endswith("."):
+            out.add("p:" + s)
+    return out
+
+
+def _name_keys(entry: tuple) -> set[str]:
+    _, district, taluka, code, former, name_mr = entry
+    out = {"c:" + code.lower()} if code and taluka is None else set()
+    for n in (district, former, name_mr) if taluka is None else (taluka, name_mr):
+        if n:
+            s = fold(n)
+            out |= deletes(s, 2 if len(s) >= 7 else 1) | {"p:" + s[:k] for k in range(3, len(s))}
+    return out
+
+
+def _tokens(*texts: str | None) -> set[str]:
+    """Words of the fields and neighbouring words put together."""
+    out: set[str] = set()
+    for t in texts:
+        words = _WORD.findall(romanise_cues(t)) if t else []
+        out |= set(words) | {a.rstrip(".") + b for a, b in zip(words, words[1:])}
+    return out
+
+
+def _by_join(todo: DataFrame, entries: DataFrame, key: str, schema: str) -> DataFrame:
+    """The same for a list of any length: distinct tokens join the names on delete keys, and each row is read with the
+    entries that its tokens found (and their districts' own entries) as its reference."""
+
+    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(k, w) for k, *v in zip(b[key], *(b[f] for f in FIELDS)) for w in sorted(_tokens(*v))]
+            yield pd.DataFrame(found, columns=[key, "token"])
+
+    def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(w, k) for w in b["token"] for k in _token_keys(w)], columns=["token", "k"])
+
+    def names_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [tuple(None if x is None or x != x else x for x in r) for r in b.itertuples(index=False)]
+            yield pd.DataFrame([(r[0], k) for r in rows for k in _name_keys(r)], columns=["place_id", "k"])
+
+    typed = cut(spread(todo).mapInPandas(words_of, schema.replace("place_id bigint", "token string")))
+    near = spread(typed.select("token").distinct()).mapInPandas(keys_of, "token string, k string")
+    near = near.join(spread(entries).mapInPandas(names_of, "place_id bigint, k string"), "k").select("token", "place_id").distinct()
+    own = entries.filter("taluka IS NULL").select("district", F.struct(*COLUMNS).alias("own"))
+    full = entries.join(own, "district", "left").select("place_id", F.array_compact(F.array(F.struct(*COLUMNS), F.col("own"))).alias("es"))
+    # The entries near the few tokens of one row are few.
+    mine = typed.join(near, "token").select(key, "place_id").distinct().join(full, "place_id").groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("es"))).alias("es"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, es, *v in zip(b[key], b["es"], *(b[f] for f in FIELDS)):
+                ref = Reference([tuple(e[c] for c in COLUMNS) for e in es]) if es is not None and len(es) else None
+                out.append((k, ref.place(*v) if ref else 0))
+            yield pd.DataFrame(out, columns=[key, "place_id"])
+
+    return todo.join(mine, key, "left").mapInPandas(read, schema)

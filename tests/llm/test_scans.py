@@ -37,3 +37,8 @@ def test_bare_page_numbers():
     sure = {0, 3}
     full = list(range(len(lines)))
     assert scans.bare_numbers(lines, full, sure) == {2, 7}
+
+
+def test_many_shapes_are_joined(spark):
+    every = {tuple(r) for r in scans.repairs(documents(spark)).collect()}
+    assert {tuple(r) for r in scans.repairs(documents(spark), most_shapes=0).collect()} == every

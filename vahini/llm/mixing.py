@@ -110,6 +110,8 @@ def mixture_of(sizes: DataFrame, plan: DataFrame, shards: int = 16, seed: int =
     spark = sizes.sparkSession
     blocked = sizes.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int"))
     targets = plan_targets(sizes, plan).filter("n_docs > 0 AND target_share > 0").collect()
+    # Only the plan's sources, so that what comes to the driver is bounded by the plan.
+    blocked = blocked.filter(F.col("source").isin(sorted({t.key for t in targets}))) if targets else blocked.limit(0)
     held: dict[str, list[tuple[int, int]]] = {}
     for r in blocked.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).collect():
         held.setdefault(r.source, []).append((r.block, r.n))

@@ -141,8 +141,12 @@ def body(text: str, shapes: frozenset[str]) -> tuple[list[str], set[int], list[t
     return lines, off, divided
 
 
-def _counted(documents: DataFrame) -> frozenset[str]:
-    """The furniture shapes of the corpus."""
+#: At most so many furniture shapes are sent to the workers (the most frequent ones); if there are more, each document gets its own in a join.
+MOST_SHAPES = 50_000
+
+
+def _counted(documents: DataFrame) -> DataFrame:
+    """(shape, n): the furniture shapes of the corpus."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every, edge, again = Counter(), Counter(), Counter()
@@ -163,7 +167,19 @@ def _counted(documents: DataFrame) -> frozenset[str]:
     counts = documents.mapInPandas(count, "shape string, n bigint, edge bigint, again bigint").groupBy("shape")
     counts = counts.agg(F.sum("n").alias("n"), F.sum("edge").alias("edge"), F.sum("again").alias("again"))
     rows = counts.filter((F.col("n") >= LEAST_LINES) & (F.col("edge") >= LEAST_EDGE * F.col("n")) & (F.col("again") >= LEAST_REPEAT * F.col("n")))
-    return frozenset(r.shape for r in rows.select("shape").collect())
+    return cut(rows.select("shape", "n"))
+
+
+def _own_shapes(documents: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Documents with the furniture shapes among their lines."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, s) for d, t in zip(b["doc_id"], b["ocr_text"]) for s in {shape(x) for x in t.split("\n") if x.strip()}]
+            yield pd.DataFrame(rows, columns=["doc_id", "shape"])
+
+    mine = documents.mapInPandas(lines, "doc_id bigint, shape string").join(shapes.select("shape"), "shape").groupBy("doc_id").agg(F.collect_set("shape").alias("shapes"))
+    return documents.join(mine, "doc_id", "left")
 
 
 def _strip(c: Column) -> Column:
@@ -214,7 +230,7 @@ def misreadings(vocab: DataFrame) -> DataFrame:
     return rare.groupBy("word").agg(pick.alias("p")).select("word", "p.*")
 
 
-def repairs(documents: DataFrame) -> DataFrame:
+def repairs(documents: DataFrame, most_shapes: int = MOST_SHAPES) -> DataFrame:
     """(doc_id, line_no, kind, fixed), kinds furniture, hyphen and misread; lines counted from 1.
 
     NULL and empty layers have no repairs; texts without line ends are one line. A document row that repeats counts
@@ -222,7 +238,11 @@ def repairs(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     scans = spread(documents.select("doc_id", "ocr_text").filter("ocr_text IS NOT NULL AND trim(ocr_text) <> ''"))
-    shapes = spark.sparkContext.broadcast(_counted(scans))
+    furnished = _counted(scans)
+    top = furnished.orderBy(F.desc("n"), "shape").limit(most_shapes + 1).collect()
+    shapes = spark.sparkContext.broadcast(frozenset(r.shape for r in top[:most_shapes]))
+    if len(top) > most_shapes:
+        scans = _own_shapes(scans, furnished)
     vocab = cut(vocabulary(documents))
     wrong = cut(misreadings(vocab))
     sound = vocab.join(wrong, "word", "left_anti").orderBy(F.desc("n"), "word").limit(SOUND_WORDS)
@@ -231,8 +251,9 @@ def repairs(documents: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"], b["ocr_text"]):
-                lines, off, divided = body(text, shapes.value)
+            own = b["shapes"] if "shapes" in b else [None] * len(b)
+            for doc, text, some in zip(b["doc_id"], b["ocr_text"], own):
+                lines, off, divided = body(text, shapes.value if some is None else shapes.value | set(some))
                 rows += [(doc, k + 1, "furniture", "", "", False) for k in sorted(off)]
                 skip = set()
                 for k, n, first, second in divided:

@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 
 from vahini.llm import linkage as K
-from vahini.llm.works import title_parts
+from vahini.llm.works import title_parts, village
 
 TITLES = {
     "Augmentation of piped water scheme at Remumumala (Bk)": ("rmummla", "u", "water", 0), "Vilesutanda: Repairs to K.T. bandhara Ph-2": ("vilestnd", "", "weir", 2), "नुदोसेओवळा खुर्द पाझर तलाव दुरुस्ती": (None, "l", "tank", 0),
@@ -19,6 +19,18 @@ def test_titles(title):
     assert got[1:] == want[1:] and len(got[0]) >= 3
 
 
+VILLAGES = {
+    "Augmentation of piped water scheme at Remumumala (Bk)": "Remumumala", "Vilesutanda: Repairs to K.T. bandhara Ph-2": "Vilesutanda", "नुदोसेओवळा खुर्द पाझर तलाव दुरुस्ती": "नुदोसेओवळा", "Sanction to WSS of Tokide (Phase I), Tal. Rumut": "Tokide",
+    "Desilting of S.W. drain stage 2, Johehugaon Kh": "Johehugaon", "Balance works of water supply scheme, Hironivihir": "Hironivihir", "Improvement of WSS (Phase 2), Roraghepada": "Roraghepada", "Operation and repair of S.T.P., Sotodhubardi BK": "Sotodhubardi",
+    "Construction of ESR and rising main for drinking water works, Tanisitanda, Tal. Rumut": "Tanisitanda", "Special repairs to samaj mandir, Jesimkund": "Jesimkund", "Improvement of link road at Hachokipimpal, Rumut": "Hachokipimpal", "Construction of bandhara, Chichurepur, (Kh)": "Chichurepur",
+}
+
+
+@pytest.mark.parametrize("title", VILLAGES)
+def test_villages(title):
+    assert title_parts(title)[0] == village(VILLAGES[title])
+
+
 def test_no_parts():
     assert title_parts(None) is None and title_parts("  ") is None and title_parts("Supply of chairs") is None and title_parts("x" * 20_000) is None
 

@@ -71,6 +71,14 @@ def village(name: str) -> str:
     return bare("".join(w for w in re.findall(r"[\wऀ-ॿ]+", s)))
 
 
+def _named(tail: str) -> str:
+    """The place in what follows the last preposition: before a comma ("at Tokide, Rumut"), or behind it if the kind of work stands before ("of STP works, Tokide")."""
+    parts = tail.split(",")
+    while len(parts) > 1 and len(village(parts[-1])) < 3:
+        parts.pop()
+    return parts[-1] if any(kind(x)[0] for x in parts[:-1]) else parts[0]
+
+
 def title_parts(title: str | None) -> tuple[str, str, str, int] | None:
     """(village, side, kind, phase) of a work's title, None without a kind or a place."""
     if not title or not title.strip():
@@ -90,7 +98,7 @@ def title_parts(title: str | None) -> tuple[str, str, str, int] | None:
     else:
         at = list(_BEFORE.finditer(rest))
         if at:
-            place = rest[at[-1].end() :]
+            place = _named(rest[at[-1].end() :])
         elif "," in rest:
             place = rest.rsplit(",", 1)[1]
     if not place:

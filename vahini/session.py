@@ -7,9 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-#: From this size a task on, an input has tasks enough by itself; sizes of at least UNKNOWN are the optimiser's "don't know".
+#: From this size a task on, an input has tasks enough by itself.
 TASK_BYTES = 128 << 20
-UNKNOWN = 1 << 62
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -48,9 +47,10 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin an input of an expensive per-row stage that is too small to have a task for every core.
 
     A small compressed file arrives as one task, and AQE puts small shuffles together into one, which would leave the
-    cores idle. The optimiser's size tells, without running anything; larger inputs pass unchanged.
+    cores idle. The sizes of the tables and checkpoints it is read from tell, without running anything (the optimiser's
+    size of a join is the product of its sides); larger inputs, and those of unknown size, pass unchanged.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if cores * TASK_BYTES <= size < UNKNOWN else df.repartition(2 * cores)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df if size >= cores * TASK_BYTES else df.repartition(2 * cores)

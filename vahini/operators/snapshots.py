@@ -2,8 +2,8 @@
 
 Rows become (bucket, snapshot, key hash, row hash) with 128-bit keys; a bucket holds every snapshot of its keys and
 about ``BUCKET_ROWS`` rows, so no group grows with the data and a hot attribute value doesn't matter (buckets hang on
-the unique key). In a bucket numpy sorts each snapshot and takes set differences by ``searchsorted``; only the keys
-that differ are joined back to their full values.
+the unique key). In a bucket numpy sorts each snapshot and takes set differences by ``searchsorted``; full values are
+read for the keys that differ, behind the join with these.
 """
 
 from __future__ import annotations
@@ -93,11 +93,12 @@ def snapshot_changes(
     # Repeats within a bucket are dropped before they travel.
     compact = rows.select(F.pmod("k", F.lit(buckets)).alias("bucket"), "snapshot_id", "k", "r", "late", "row")
     changed = compact.groupBy("bucket").applyInPandas(diff, "snapshot_id int, k bigint, r bigint, change_kind string")
-    at = F.when(F.col("change_kind") == "removed", F.col("snapshot_id") - 1).otherwise(F.col("snapshot_id"))
-    changed = changed.withColumn("at", at)
-    full = rows.groupBy(F.col("snapshot_id").alias("at"), "k", "r").agg(
-        F.max_by(F.struct(*[f"k_{n}" for n in key], *[f"c_{n}" for n in carry]), F.struct("late", "row")).alias("full")
-    )
-    return changed.join(full, ["at", "k", "r"]).select(
+    changed = changed.withColumn("at", F.when(F.col("change_kind") == "removed", F.col("snapshot_id") - 1).otherwise(F.col("snapshot_id")))
+    # Full values are read for the differing keys only; which of a key's rows counts matters for the carried columns alone.
+    full = [f"k_{n}" for n in key] + [f"c_{n}" for n in carry]
+    rank = ["late", "row"] if carry else []
+    met = changed.join(rows.select(F.col("snapshot_id").alias("at"), "k", "r", *full, *rank), ["at", "k", "r"])
+    one = F.max_by(F.struct(*full), F.struct(*rank)) if carry else F.first(F.struct(*full))
+    return met.groupBy("at", "k", "r", "snapshot_id", "change_kind").agg(one.alias("full")).select(
         "snapshot_id", *[F.col(f"full.k_{n}").alias(n) for n in key], "change_kind", *[F.col(f"full.c_{n}").alias(n) for n in carry]
     )

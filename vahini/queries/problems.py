@@ -36,7 +36,7 @@ def p3_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def changes(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
     text = lambda c: F.nullif(F.lower(squeeze(F.col(c))), F.lit(""))
     return snapshot_changes(
         table(spark, sf_dir, "tender_snapshots"),
@@ -44,7 +44,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"source_portal": F.col("source_portal"), "source_tender_id": F.upper(F.trim("source_tender_id"))},
         F.unix_micros("last_seen_at"),
         [text("title"), text("status"), F.col("estimated_value_inr"), instant_us(F.col("bid_submission_end"))],
-        {"status": text("status")},
+        {c: text(c) for c in carry},
     )
 
 
@@ -53,7 +53,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes(spark, sf_dir).groupBy("snapshot_id", "change_kind", "status").agg(F.count("*").alias("n_changes"))
+    return changes(spark, sf_dir, ("status",)).groupBy("snapshot_id", "change_kind", "status").agg(F.count("*").alias("n_changes"))
 
 
 ORACLE_SQL: dict[str, str] = {"p3_found": instants_sql.P3_FOUND, "p7_found": instants_sql.P7_FOUND, "p7_change_counts": instants_sql.P7_COUNTS}

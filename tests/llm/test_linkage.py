@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -35,18 +36,29 @@ def test_no_parts():
     assert title_parts(None) is None and title_parts("  ") is None and title_parts("Supply of chairs") is None and title_parts("x" * 20_000) is None
 
 
-def test_close_vectors_always_share_a_block_key():
+def test_close_names_always_share_a_block_key():
     rng = random.Random(2)
-    count = lambda x, y: sum(bin((a ^ b) & (1 << 64) - 1).count("1") for a, b in zip(x, y))
-    names = ["".join(rng.choice("abdeghikmnoprstuv") for _ in range(9)) for _ in range(60)]
-    names += [n[:k] + rng.choice("aeiou") + n[k + 1 :] for n in names for k in (2, 5)]
-    close = 0
-    for a, b in itertools.combinations(names, 2):
-        x, y = K.vector(a), K.vector(b)
-        if count(x, y) <= K.RADIUS:
-            close += 1
-            assert set(K.block_keys(x)) & set(K.block_keys(y))
-    assert close > 60
+    letters = "abdeghikmnoprstuv"
+
+    def edited(n):
+        k = rng.randrange(len(n))
+        return rng.choice([n[:k] + rng.choice(letters) + n[k + 1 :], n[:k] + n[k + 1 :], n[:k] + rng.choice(letters) + n[k:]])
+
+    names = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 14))) for _ in range(400)]
+    apart = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(K.vector(x), K.vector(y)))
+    for n in names:
+        for other in (n, edited(n), edited(edited(n))):
+            assert apart(n, other) <= K.RADIUS and K.block_keys(n) & K.block_keys(other)
+    for x, y in itertools.combinations(names + [edited(n)[:6] for n in names], 2):
+        if apart(x, y) <= K.RADIUS:
+            assert K.block_keys(x) & K.block_keys(y)
+
+
+def test_no_key_of_many_names():
+    rng = random.Random(3)
+    names = {"".join(rng.choice("bdghkmnprstv") + rng.choice(["", "e", "i", "o", "u"]) for _ in range(rng.randrange(3, 8))) for _ in range(2_000)}
+    count = Counter(k for n in names for k in K.block_keys(n))
+    assert max(count.values()) < 0.15 * len(names)
 
 
 def test_links(spark):

@@ -1,10 +1,12 @@
 """Problem 5: approval projects and tenders of the same work, without a common identifier.
 
-Place names become bit vectors: every pair of letters of the bare name sets one of 256 bits, in four blocks of 64. Two
-vectors at most ``RADIUS`` = 2 * 4 - 1 bits apart have a block at most one bit apart, so both sides send each block as it
-is and with each of its set bits taken out; that finds all close pairs without trying neighbours. Blocks meet only
-within one kind of work, phase, side (Budruk, Khurd) and district; places without a known district meet in a pass of
-their own. Candidates are then checked exactly: vectors, edit distance, district, cost.
+Place names become bit vectors: every pair of letters of the bare name sets one of 576 bits, in ``BLOCKS`` = 9 blocks of
+64. One edit changes at most four bits, so names at most two edits apart are at most ``RADIUS`` = 8 bits apart. Then there
+is a block that is equal, that with the next one holds at most one difference, with the next two at most two, and so on
+round the circle (the sums of 9 numbers that add up to at most 8). Both sides send, for every block to begin with, what
+can be left of it and the following ones when so many bits are taken out, as many blocks as it takes to have a bit at all:
+all close pairs meet, and no key stands for "no bits". Distinct names meet, not records, and only within one kind of work,
+phase and side (Budruk, Khurd); districts are read for the records of names that met.
 
 A pair's score is the weighted Dice of its fields. Scores become confidences without labels: the cost is kept out of
 the score, and in each score bin the share of pairs whose costs agree, beyond the share by chance, tells how many are
@@ -15,6 +17,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,8 +28,8 @@ from vahini.llm.places import map_places
 from vahini.llm.works import kind, phase, side, title_parts, village
 from vahini.session import cut, spread
 
-BLOCKS = 4
-RADIUS = 2 * BLOCKS - 1
+BLOCKS = 9
+RADIUS = BLOCKS - 1
 #: A tender's estimate can belong to a project from this share of its approved or revised cost to that.
 COST_FROM, COST_TO = 0.75, 1.15
 WEIGHTS = {"village": 0.7, "district": 0.2, "taluka": 0.1}
@@ -33,29 +37,37 @@ BINS = 20
 
 
 def vector(name: str) -> list[int]:
-    """256 bits as four signed longs."""
+    """The blocks of a name's bits."""
     out = [0] * BLOCKS
     padded = f"^{name}$"
     for a, b in zip(padded, padded[1:]):
         h = zlib.crc32((a + b).encode()) % (64 * BLOCKS)
         out[h // 64] |= 1 << (h % 64)
-    return [x - (1 << 64) if x >= 1 << 63 else x for x in out]
-
-
-def block_keys(bits: list[int]) -> list[str]:
-    """Each block, and each block with one set bit less."""
-    out = []
-    for i, x in enumerate(bits):
-        x &= (1 << 64) - 1
-        out.append(f"{i}:{x:x}")
-        rest = x
-        while rest:
-            low = rest & -rest
-            out.append(f"{i}:{x ^ low:x}")
-            rest ^= low
     return out
 
 
+def _without(x: int, most: int) -> list[tuple[int, int]]:
+    """(what is left, how many are gone) with up to ``most`` of the set bits taken out."""
+    set_bits = [1 << i for i in range(x.bit_length()) if x >> i & 1]
+    return [(x ^ sum(c), n) for n in range(min(most, len(set_bits)) + 1) for c in combinations(set_bits, n)]
+
+
+@lru_cache(100_000)
+def block_keys(name: str) -> frozenset[int]:
+    """Keys of which two names share one if their vectors are at most RADIUS bits apart."""
+    blocks, out = vector(name), set()
+    for begin in range(BLOCKS):
+        todo = [(1, blocks[begin], 0)]
+        while todo:
+            n, left, gone = todo.pop()
+            if left or n == BLOCKS:
+                out.add(hash((begin, n, left)))
+            else:
+                # n + 1 blocks may differ in n bits.
+                todo += [(n + 1, rest, gone + k) for rest, k in _without(blocks[(begin + n) % BLOCKS], n - gone)]
+    return frozenset(out)
+
+
 def located(rows: DataFrame, places: DataFrame, key: str) -> DataFrame:
     """(key, d, t): the entries of the district and of the taluka that location_raw, district and taluka name, 0 where unknown."""
     own = places.filter("taluka IS NULL").select("district", F.col("place_id").alias("d"))
@@ -64,20 +76,21 @@ def located(rows: DataFrame, places: DataFrame, key: str) -> DataFrame:
     return named.select(key, F.coalesce("d", F.lit(0)).alias("d"), F.coalesce("t", F.lit(0)).alias("t"))
 
 
-def _with_place(rows: DataFrame, at: DataFrame, key: str) -> DataFrame:
-    return rows.join(at, key, "left").withColumns({"d": F.coalesce("d", F.lit(0)), "t": F.coalesce("t", F.lit(0))})
+_RECORD = "id string, v string, side string, kind string, phase int, low decimal(18,2), high decimal(18,2)"
+_FIELDS = [c.split()[0] for c in _RECORD.split(", ")]
 
 
-_RECORD = "id string, v string, side string, kind string, phase int, district bigint, taluka bigint, low decimal(18,2), high decimal(18,2), bits array<bigint>"
+def _named(parts: DataFrame) -> DataFrame:
+    return parts.withColumn("nid", F.xxhash64("v", "side", "kind", "phase"))
 
 
-def project_parts(projects: DataFrame, places: DataFrame) -> DataFrame:
+def project_parts(projects: DataFrame) -> DataFrame:
     """A row per project and spelling of its place (original title, English title, municipality)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for pid, original, english, town, approved, revised, works, d, t in zip(*(b[c] for c in b.columns)):
+            for pid, original, english, town, approved, revised, works in zip(*(b[c] for c in b.columns)):
                 titles = [x for x in (title_parts(original), title_parts(english)) if x]
                 works = list(works) if works is not None else []
                 k = titles[0][2] if titles else next((kind(w)[0] for w in works if w and kind(w)[0]), "")
@@ -89,58 +102,55 @@ def project_parts(projects: DataFrame, places: DataFrame) -> DataFrame:
                     names.add((village(town), side(town)))
                 costs = [c for c in (approved, revised) if c is not None and c > 0]
                 for v, s in sorted(names):
-                    out.append((pid, v, s, k, p, d, t, min(costs, default=None), max(costs, default=None), vector(v)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _RECORD.split(", ")])
+                    out.append((pid, v, s, k, p, min(costs, default=None), max(costs, default=None)))
+            yield pd.DataFrame(out, columns=_FIELDS)
 
-    one = projects.dropDuplicates(["id"])
-    office = F.regexp_replace("mjp_office", "Sub-division", "").alias("location_raw")
-    taluka = F.regexp_extract("title_en", r"\b(?:Tal|Taluka|Tq)\b\.?\s*([\wऀ-ॿ. ]+)$", 1).alias("taluka")
-    at = located(one.select("id", office, "district", taluka), places, "id")
     columns = ["id", "title_original", "title_en", "municipality", "approved_cost_inr", "revised_cost_inr", "works_en"]
-    return spread(_with_place(one.select(*columns), at, "id")).mapInPandas(read, _RECORD)
+    return _named(spread(projects.select(*columns)).mapInPandas(read, _RECORD))
 
 
-def tender_parts(tenders: DataFrame, places: DataFrame) -> DataFrame:
+def tender_parts(tenders: DataFrame) -> DataFrame:
     """A row per tenders row with a place and a kind of work in its title."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for row_id, title, cost, d, t in zip(*(b[c] for c in b.columns)):
+            for row_id, title, cost in zip(*(b[c] for c in b.columns)):
                 parts = title_parts(title)
                 if parts:
-                    v, s, k, p = parts
                     cost = cost if cost is not None and cost > 0 else None
-                    out.append((str(row_id), v, s, k, p, d, t, cost, cost, vector(v)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _RECORD.split(", ")])
+                    out.append((str(row_id), *parts, cost, cost))
+            yield pd.DataFrame(out, columns=_FIELDS)
 
-    one = tenders.dropDuplicates(["row_id"])
-    at = located(one.select("row_id", "location_raw", "district", "taluka"), places, "row_id")
-    return spread(_with_place(one.select("row_id", "title", "estimated_value_inr"), at, "row_id")).mapInPandas(read, _RECORD)
+    return _named(spread(tenders.select("row_id", "title", "estimated_value_inr")).mapInPandas(read, _RECORD))
 
 
-def _keyed(parts: DataFrame, name: str) -> DataFrame:
-    """The distinct places of a side with their block keys."""
-    keys = F.udf(block_keys, "array<string>", useArrow=True)
-    places = parts.select("v", "side", "kind", "phase", "district", "bits").distinct()
-    return places.select(
-        F.struct("v", "bits").alias(name), "district", F.explode(keys("bits")).alias("block"), F.xxhash64("kind", "phase", "side").alias("cell"), "kind", "phase", "side"
-    )
+def close_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(na, va, nb, vb): all pairs of names of one kind, phase and side that are one edit apart, or two if both have seven letters or more."""
 
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            keys = [block_keys(v) for v in x["v"]]
+            n = [len(k) for k in keys]
+            yield pd.DataFrame({c: x[c].repeat(n).to_numpy() for c in ("nid", "v", "cell")} | {"block": [k for ks in keys for k in ks]})
 
-def close_places(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(kind, phase, side, va, vb, da, db): all pairs of places at most RADIUS bits apart within a cell, districts equal or unknown."""
-    x, y = _keyed(a, "a").withColumnRenamed("district", "da"), _keyed(b, "b").withColumnRenamed("district", "db")
-    on = ["cell", "block", "kind", "phase", "side"]
-    both = x.filter("da <> 0").withColumn("d", F.col("da")).join(y.filter("db <> 0").withColumn("d", F.col("db")), [*on, "d"])
-    one = x.filter("da = 0").join(y, on)
-    other = x.filter("da <> 0").join(y.filter("db = 0"), on)
-    out = None
-    for pairs in (both, one, other):
-        apart = sum((F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i])) for i in range(BLOCKS)), F.lit(0))
-        near = pairs.filter(apart <= RADIUS).select("kind", "phase", "side", F.col("a.v").alias("va"), F.col("b.v").alias("vb"), "da", "db")
-        out = near if out is None else out.unionByName(near)
-    return out.distinct()
+    def side_of(parts: DataFrame, n: str) -> DataFrame:
+        names = spread(parts.select("nid", "v", F.xxhash64("kind", "phase", "side").alias("cell")).distinct())
+        keys = names.mapInPandas(keyed, "nid bigint, v string, cell bigint, block bigint")
+        return keys.select(F.xxhash64("cell", "block").alias("at"), F.col("nid").alias(f"n{n}"), F.col("v").alias(f"v{n}"))
+
+    # The lengths tell most pairs apart before the edits are counted.
+    lengths = F.abs(F.length("va") - F.length("vb"))
+    met = side_of(a, "a").join(side_of(b, "b"), "at").filter((lengths <= 2) & (F.levenshtein("va", "vb", 2) >= 0)).select("na", "va", "nb", "vb").distinct()
+    edits = F.levenshtein("va", "vb")
+    return met.filter((edits <= 1) | (F.least(F.length("va"), F.length("vb")) >= 7))
+
+
+def _placed(parts: DataFrame, rows: DataFrame, places: DataFrame, key: str) -> DataFrame:
+    """Parts with district and taluka (d, t) of their records, 0 where unknown."""
+    ids = parts.select(F.col("id").cast(rows.schema[key].dataType).alias(key)).distinct()
+    at = located(rows.join(ids, key, "left_semi"), places, key).select(F.col(key).cast("string").alias("id"), "d", "t")
+    return parts.join(at, "id", "left").withColumns({"d": F.coalesce("d", F.lit(0)), "t": F.coalesce("t", F.lit(0))})
 
 
 def _dice(a, b):
@@ -157,14 +167,19 @@ def link(projects: DataFrame, tenders: DataFrame, places: DataFrame) -> DataFram
     longer ones by two. Records without a place or kind of work in any title match nothing. Whole-row repeats count once;
     every listing of a tender counts. No pair is dropped for its number of partners.
     """
-    p, t = cut(project_parts(projects, places)), cut(tender_parts(tenders, places))
-    pairs = close_places(p, t)
-    edits = F.levenshtein("va", "vb")
-    pairs = pairs.filter((edits <= 1) | ((edits == 2) & (F.least(F.length("va"), F.length("vb")) >= 7)))
-    a = p.select("kind", "phase", "side", F.col("v").alias("va"), F.col("district").alias("da"), F.col("id").alias("project_id"), F.col("taluka").alias("ta"), "low", "high")
-    b = t.select("kind", "phase", "side", F.col("v").alias("vb"), F.col("district").alias("db"), F.col("id").cast("bigint").alias("row_id"), F.col("taluka").alias("tb"), F.col("low").alias("cost"))
-    linked = pairs.join(a, ["kind", "phase", "side", "va", "da"]).join(b, ["kind", "phase", "side", "vb", "db"])
-    linked = linked.filter("ta = 0 OR tb = 0 OR ta = tb")
+    projects, tenders = projects.dropDuplicates(["id"]), tenders.dropDuplicates(["row_id"])
+    p, t = cut(project_parts(projects)), cut(tender_parts(tenders))
+    pairs = cut(close_names(p, t))
+    office = F.regexp_replace("mjp_office", "Sub-division", "").alias("location_raw")
+    taluka = F.regexp_extract("title_en", r"\b(?:Tal|Taluka|Tq)\b\.?\s*([\wऀ-ॿ. ]+)$", 1).alias("taluka")
+    a = p.join(pairs.select(F.col("na").alias("nid"), F.col("va").alias("v")), ["nid", "v"], "left_semi")
+    a = _placed(a, projects.select("id", office, "district", taluka), places, "id")
+    b = t.join(pairs.select(F.col("nb").alias("nid"), F.col("vb").alias("v")), ["nid", "v"], "left_semi")
+    b = _placed(b, tenders.select("row_id", "location_raw", "district", "taluka"), places, "row_id")
+    a = a.select(F.col("nid").alias("na"), F.col("v").alias("va"), "kind", "phase", "side", F.col("d").alias("da"), F.col("t").alias("ta"), F.col("id").alias("project_id"), "low", "high")
+    b = b.select(F.col("nid").alias("nb"), F.col("v").alias("vb"), "kind", "phase", "side", F.col("d").alias("db"), F.col("t").alias("tb"), F.col("id").cast("bigint").alias("row_id"), F.col("low").alias("cost"))
+    linked = pairs.join(a, ["na", "va"]).join(b, ["nb", "vb", "kind", "phase", "side"])
+    linked = linked.filter("(da = 0 OR db = 0 OR da = db) AND (ta = 0 OR tb = 0 OR ta = tb)")
     known = F.col("cost").isNotNull() & F.col("low").isNotNull()
     fits = (F.col("cost") >= F.col("low") * COST_FROM) & (F.col("cost") <= F.col("high") * COST_TO)
     score = (

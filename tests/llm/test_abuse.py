@@ -23,11 +23,25 @@ def test_disguises():
     assert all(len(s) <= 40 for s in A.sentences("word " * 5_000))
 
 
+def test_features_of_many_sentences_are_those_of_each(monkeypatch):
+    rng = random.Random(6)
+    pieces = [[rng.choice("abcdefg") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 12))] for _ in range(30)]
+    x, starts = A.features(pieces)
+    for p, got in zip(pieces, [*zip(starts, [*starts[1:], len(x)])]):
+        alone, at = A.features([p])
+        assert x[got[0] : got[1]].tolist() == alone.tolist() and at.tolist() == [0]
+    w = {int(k): rng.random() for k in set(x.tolist())}
+    texts = [". ".join(" ".join(p) for p in pieces[a : a + 3]) for a in range(0, 30, 3)] + [None, ""]
+    whole = A.score_texts(w, texts)
+    monkeypatch.setattr(A, "CHUNK", 5)
+    assert A.score_texts(w, texts).tolist() == whole.tolist() and whole[-1] == -9 and (whole[:-2] > 0).all()
+
+
 def test_held_out():
     rows = corpus(400, random.Random(4))
-    bags = [[A.features(s) for s in A.sentences(t)] for _, t, _ in rows]
+    bags = [A.bag(t) for _, t, _ in rows]
     w, th = A.train(bags[:200], [y for _, _, y in rows[:200]])
-    hit = [(A.score(w, t) > th) == bool(y) for _, t, y in rows[200:]]
+    hit = (A.score_texts(w, [t for _, t, _ in rows[200:]]) > th) == [bool(y) for _, _, y in rows[200:]]
     assert sum(hit) >= 198 and 0 < len(w) < 20_000
 
 

@@ -15,6 +15,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ _END = re.compile(r"(?<=[.!?।])[\"'”’)]*\s+(?=\S)")
 _TOKEN = re.compile(r"[\w@$!*+ऀ-ॿ]+")
 
 
+@lru_cache(300_000)
 def normal_word(word: str) -> str:
     if "*" in word:
         return "<masked>"
@@ -58,16 +60,51 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
-def features(words: list[str], bits: int = BITS) -> np.ndarray:
-    """Hashed words, pairs, triples and pairs that skip one or two words."""
-    w = ["<s>", *words, "</s>"]
-    grams = {"<bias>", *words}
-    grams.update(a + " " + b for a, b in zip(w, w[1:]))
-    grams.update(a + " _ " + b for a, b in zip(w, w[2:]))
-    grams.update(a + " __ " + b for a, b in zip(w, w[3:]))
-    grams.update(a + " " + b + " " + c for a, b, c in zip(w, w[1:], w[2:]))
-    mask = (1 << bits) - 1
-    return np.unique(np.fromiter((zlib.crc32(g.encode()) & mask for g in grams), dtype=np.int64, count=len(grams)))
+@lru_cache(300_000)
+def _code(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
+def _mixed(*parts: np.ndarray | int) -> np.ndarray:
+    """A hash of whole arrays: n-grams of word codes never become strings."""
+    h = np.uint64(0x9E3779B97F4A7C15)
+    for p in parts:
+        h = (h ^ np.asarray(p, np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+        h = h ^ (h >> np.uint64(32))
+    return h
+
+
+def features(pieces: list[list[str]], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words, pairs, triples and pairs that skip one or two words, of many sentences at once.
+
+    (features, starts): the distinct features of every sentence one after the other, and where each sentence's begin.
+    """
+    if not pieces:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    begin, end = _code("<s>"), _code("</s>")
+    words = np.fromiter((c for s in pieces for c in (begin, *map(_code, s), end)), np.uint64)
+    at = np.repeat(np.arange(len(pieces)), [len(s) + 2 for s in pieces])
+    inner = np.ones(len(words), bool)
+    inner[np.flatnonzero(np.diff(at, prepend=-1))] = False
+    inner[np.flatnonzero(np.diff(at, append=len(pieces)))] = False
+    with np.errstate(over="ignore"):
+        made = [(np.arange(len(pieces)), np.broadcast_to(_mixed(0), (len(pieces),))), (at[inner], _mixed(1, words[inner]))]
+        for gap in (1, 2, 3):
+            same = at[gap:] == at[:-gap]
+            made.append((at[gap:][same], _mixed(1 + gap, words[:-gap][same], words[gap:][same])))
+        same = at[2:] == at[:-2]
+        made.append((at[2:][same], _mixed(5, words[:-2][same], words[1:-1][same], words[2:][same])))
+    keys = np.concatenate([(i.astype(np.int64) << bits) | (h >> np.uint64(64 - bits)).astype(np.int64) for i, h in made])
+    keys.sort()
+    keys = keys[np.flatnonzero(np.diff(keys, prepend=-1))]
+    owner = keys >> bits
+    return keys & ((1 << bits) - 1), np.searchsorted(owner, np.arange(len(pieces)))
+
+
+def bag(text: str | None) -> list[np.ndarray]:
+    """The features of each sentence of a document."""
+    x, starts = features(sentences(text))
+    return np.split(x, starts[1:]) if len(starts) else []
 
 
 class Ftrl:
@@ -80,14 +117,15 @@ class Ftrl:
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def score(self, x: np.ndarray) -> float:
-        return float(self.weights(x).sum() / np.sqrt(len(x)))
+    def scores(self, bag: list[np.ndarray]) -> np.ndarray:
+        n = np.array([len(x) for x in bag])
+        return np.add.reduceat(self.weights(np.concatenate(bag)), np.cumsum(n) - n) / np.sqrt(n)
 
-    def learn(self, x: np.ndarray, y: int, importance: float = 1.0) -> None:
+    def learn(self, x: np.ndarray, y: int) -> None:
         w = self.weights(x)
         norm = np.sqrt(len(x))
         p = 1 / (1 + np.exp(-np.clip(w.sum() / norm, -35, 35)))
-        g = (p - y) / norm * importance
+        g = (p - y) / norm
         s = (np.sqrt(self.n[x] + g * g) - np.sqrt(self.n[x])) / self.alpha
         self.z[x] += g - s * w
         self.n[x] += g * g
@@ -121,12 +159,12 @@ def train(bags: list[list[np.ndarray]], labels: list[int], epochs: int = EPOCHS,
                 continue
             if labels[k]:
                 # How suspicious: features that clean documents don't have, then the score.
-                rank = [np.mean(clean[x] == 0) if epoch == 0 else model.score(x) for x in bag]
-                model.learn(bag[int(np.argmax(rank))], 1, 1.0)
+                rank = [np.mean(clean[x] == 0) for x in bag] if epoch == 0 else model.scores(bag)
+                model.learn(bag[int(np.argmax(rank))], 1)
             else:
-                for x in bag if epoch == 0 else (x for x in bag if model.score(x) > -3):
-                    model.learn(x, 0, 1.0)
-    top = np.array([max((model.score(x) for x in bag), default=-9.0) for bag in bags])
+                for x in bag if epoch == 0 else [x for x, v in zip(bag, model.scores(bag)) if v > -3]:
+                    model.learn(x, 0)
+    top = np.array([model.scores(bag).max() if bag else -9.0 for bag in bags])
     return model.compact(), choose_threshold(top, np.array(labels))
 
 
@@ -142,11 +180,36 @@ def choose_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((scores[order[k]] + low) / 2)
 
 
-def score(weights: dict[int, float], text: str | None) -> float:
-    best = -9.0
-    for s in sentences(text):
-        x = features(s)
-        best = max(best, sum(weights.get(k, 0.0) for k in x.tolist()) / len(x) ** 0.5)
+#: Words whose features are computed at once.
+CHUNK = 100_000
+
+
+def score_texts(weights: dict[int, float], texts: list[str | None], bits: int = BITS) -> np.ndarray:
+    """The score of each text's worst sentence, -9 without any. Sentences of many texts, or parts of a long one, are one array."""
+    dense = np.zeros(1 << bits, np.float32)
+    dense[list(weights)] = list(weights.values())
+    best = np.full(len(texts), -9.0)
+    held: list[list[str]] = []
+    owner: list[int] = []
+
+    def flush() -> None:
+        x, starts = features(held, bits)
+        n = np.diff(starts, append=len(x))
+        np.maximum.at(best, owner, np.add.reduceat(dense[x], starts, dtype=np.float64) / np.sqrt(n))
+        held.clear()
+        owner.clear()
+
+    size = 0
+    for k, t in enumerate(texts):
+        for s in sentences(t):
+            held.append(s)
+            owner.append(k)
+            size += len(s)
+            if size >= CHUNK:
+                flush()
+                size = 0
+    if held:
+        flush()
     return best
 
 
@@ -164,13 +227,13 @@ def score_documents(documents: DataFrame, labels: DataFrame, sample: int = SAMPL
     Without any abusive label nothing is found abusive. Whole texts are read; equal doc_ids stay separate rows.
     """
     known = labelled(documents, labels, sample)
-    weights, threshold = train([[features(s) for s in sentences(t)] for t, _ in known], [y for _, y in known])
+    weights, threshold = train([bag(t) for t, _ in known], [y for _, y in known])
     sent = documents.sparkSession.sparkContext.broadcast(weights)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = sent.value
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": [score(w, t) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": score_texts(w, b["text"].tolist())})
 
     src = F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source")
     scored = spread(documents.select("doc_id", src, "text")).mapInPandas(read, "doc_id bigint, source string, score double")

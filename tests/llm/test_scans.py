@@ -42,3 +42,31 @@ def test_bare_page_numbers():
 def test_many_shapes_are_joined(spark):
     every = {tuple(r) for r in scans.repairs(documents(spark)).collect()}
     assert {tuple(r) for r in scans.repairs(documents(spark), most_shapes=0).collect()} == every
+
+
+def test_misread_shapes_against_all_pairs(spark):
+    import random
+
+    from vahini.functions.latin import osa
+
+    rng = random.Random(1)
+    sure = ["".join(rng.choice("A+ #.abc") for _ in range(rng.randrange(10, 30))) for _ in range(40)]
+
+    def edited(s):
+        k = rng.randrange(len(s) - 1)
+        return rng.choice([s[:k] + s[k + 1] + s[k] + s[k + 2 :], s[:k] + s[k + 1 :], s[:k] + "x" + s[k:], s[:k] + "x" + s[k + 1 :]])
+
+    others = {e for s in sure for e in (edited(s), edited(edited(s)), edited(edited(edited(s))))} - set(sure)
+    frame = lambda xs: spark.createDataFrame([(x,) for x in sorted(xs)], "shape string")
+    want = {x for x in others if len(x) >= 10 and any(len(s) >= 12 and osa(x, s, 2) <= 2 for s in sure)}
+    assert {r.shape for r in scans._misread(frame(others), frame(set(sure))).collect()} == want and len(want) > 40
+
+
+def test_paragraphs(spark):
+    got = {r.paragraph: r for r in scans.paragraphs(documents(spark)).filter("doc_id = 10").collect()}
+    text = " ".join(got[k].text for k in sorted(got))
+    assert "shall provide the pipeline before the monsoon at the presence of the executive engineer in 2026 under 1,23,456 rupees." in text
+    assert "owing to a multi-village agreement and the contractor was told." in text and "Signature" not in text and "Page" not in text and got[1].n_repairs >= 10
+    made = [(2, "furniture", "", ""), (4, "hyphen", "pipeline", "pipeline")]
+    assert scans.rebuilt("One line without\n- 1 -\n\n  end, a (pipe-\nline). Next.\n\nNew words.", made) == ["One line without end, a (pipeline). Next.", "New words."]
+    assert scans.paragraphs(documents(spark).limit(0)).count() == 0

@@ -115,6 +115,18 @@ def test_bundles_that_depend_on_each_other(spark):
     assert free == {("district", 2)}
 
 
+def test_a_bundle_survives_whole(spark):
+    from decimal import Decimal as D
+
+    day = lambda n: datetime(2026, 1, n)
+    rows = [(1, "a", "x", None, None, None, D(10), None, None, None, None, None, day(9)), (2, "b", "x", None, None, None, D(20), D(1), None, None, None, None, day(1)), (3, "a", "y", None, None, None, None, D(5), None, None, None, None, day(1)), (4, "a", "y", None, None, None, D(0), D(0), None, None, None, None, day(2))]
+    rows = [(i, "p", t, h, e, d, v, m, b, s, di, ta, n) for i, _, t, h, e, d, v, m, b, s, di, ta, n in rows]
+    places = spark.createDataFrame([], "taluka string, district string")
+    portals = spark.createDataFrame([("p", 1)], "source_portal string, trust_rank int")
+    got = {(r.group_id, r.field, r.row_id) for r in S.consistent_tenders(table(spark, rows), portals, places).collect()}
+    assert got == {(1, "estimated_value_inr", 2), (1, "emd_inr", 2), (3, "emd_inr", 3)}
+
+
 def test_branch_and_bound_is_the_best_of_all(spark):
     rng = random.Random(9)
     rows, names = [], ["t0", "t1", "t2"]

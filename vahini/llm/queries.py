@@ -33,6 +33,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repairs(table(spark, sf_dir, "documents"))
 
 
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned papers as continuous paragraphs."""
+    return scans.paragraphs(table(spark, sf_dir, "documents"))
+
+
 def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links with score and confidence."""
     return linkage.link(*(table(spark, sf_dir, t) for t in ("mjp_projects", "tenders", "place_ref")))
@@ -47,7 +52,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survivors with the taluka besides, chosen so that taluka and district agree with the reference list."""
+    """Survivors with the amounts as one bundle and the taluka besides, chosen so that taluka and district agree with the reference list."""
     return survivors.consistent_tenders(*(table(spark, sf_dir, t) for t in ("tenders", "portals", "place_ref")))
 
 
@@ -90,7 +95,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_consistent": p6_consistent,
+    "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_consistent": p6_consistent,
     "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p10_scores": p10_scores, "p10_found": p10_found, "p10_rates": p10_rates,
 }
@@ -128,5 +133,31 @@ ORACLE_SQL: dict[str, str] = {
             _best("status", _KNOWN.format("status"), ""),
             _best("district", _KNOWN.format("district"), ""),
         )
-    )
+    ),
+    "p6_consistent": _GROUPS
+    + f""", money AS (SELECT group_id, row_id, coalesce(estimated_value_inr <> 0, false) AS e, coalesce(emd_inr <> 0, false) AS m FROM members WHERE e OR m
+            QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY CAST(e AS INT) + CAST(m AS INT) DESC, trust, last_seen_at DESC NULLS LAST, row_id) = 1),
+        ranked_a AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY last_seen_at DESC NULLS LAST, row_id) AS place FROM (SELECT group_id, row_id, last_seen_at, lower(trim(taluka)) AS v FROM members
+            WHERE {_KNOWN.format("taluka")} QUALIFY row_number() OVER (PARTITION BY group_id, lower(trim(taluka)) ORDER BY last_seen_at DESC NULLS LAST, row_id) = 1)),
+        ranked_b AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY last_seen_at DESC NULLS LAST, row_id) AS place FROM (SELECT group_id, row_id, last_seen_at, lower(trim(district)) AS v FROM members
+            WHERE {_KNOWN.format("district")} QUALIFY row_number() OVER (PARTITION BY group_id, lower(trim(district)) ORDER BY last_seen_at DESC NULLS LAST, row_id) = 1)),
+        fits AS (SELECT DISTINCT lower(trim(taluka)) AS va, lower(trim(district)) AS vb FROM place_ref WHERE taluka IS NOT NULL),
+        rows_of AS (SELECT group_id, count(*) + 1 AS worst FROM (SELECT group_id FROM ranked_a UNION ALL SELECT group_id FROM ranked_b) GROUP BY 1),
+        a AS (SELECT group_id, row_id, v, place FROM ranked_a UNION ALL SELECT group_id, NULL, NULL, worst FROM rows_of),
+        b AS (SELECT group_id, row_id, v, place FROM ranked_b UNION ALL SELECT group_id, NULL, NULL, worst FROM rows_of),
+        chosen AS (SELECT a.group_id, a.row_id AS ra, b.row_id AS rb FROM a JOIN b ON a.group_id = b.group_id
+            WHERE a.v IS NULL OR b.v IS NULL OR a.v NOT IN (SELECT va FROM fits) OR (a.v, b.v) IN (SELECT (va, vb) FROM fits)
+            QUALIFY row_number() OVER (PARTITION BY a.group_id ORDER BY a.place + b.place, a.place) = 1) """
+    + " UNION ALL ".join(
+        f"({q})"
+        for q in (
+            _best("description", _KNOWN.format("description"), "length(trim(description)) DESC, "),
+            _best("bid_submission_end", _KNOWN.format("bid_submission_end"), ""),
+            _best("status", _KNOWN.format("status"), ""),
+            "SELECT group_id, 'estimated_value_inr' AS field, row_id FROM money WHERE e",
+            "SELECT group_id, 'emd_inr' AS field, row_id FROM money WHERE m",
+            "SELECT group_id, 'taluka' AS field, ra AS row_id FROM chosen WHERE ra IS NOT NULL",
+            "SELECT group_id, 'district' AS field, rb AS row_id FROM chosen WHERE rb IS NOT NULL",
+        )
+    ),
 }

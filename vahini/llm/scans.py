@@ -65,8 +65,8 @@ def page_edges(lines: list[str]) -> tuple[list[int], set[int], set[int]]:
     return full, pages, edges - pages
 
 
-def furniture(lines: list[str], shapes: frozenset[str]) -> set[int]:
-    """Indices of headers, footers and page numbers."""
+def furniture(lines: list[str], shapes: frozenset[str], near: frozenset[str] = frozenset()) -> set[int]:
+    """Indices of headers, footers and page numbers. ``near``: shapes at page edges that are misreadings of furniture shapes."""
     full, found, edges = page_edges(lines)
     sure = {k for k in full if k not in found and shape(lines[k]) in shapes}
     known = {re.sub(r"\d+", "#", lines[k].strip()) for k in sure}
@@ -78,7 +78,7 @@ def furniture(lines: list[str], shapes: frozenset[str]) -> set[int]:
             continue
         if any(abs(len(text) - len(x)) <= 3 and osa(text, x, max(2, len(x) // 8)) <= max(2, len(x) // 8) for x in known):
             sure.add(k)
-        elif k in edges and len(text) >= 12 and any(len(s) >= 12 and osa(shape(lines[k]), s, 2) <= 2 for s in shapes):
+        elif k in edges and len(text) >= 12 and shape(lines[k]) in near:
             sure.add(k)
     numbered = found or any(re.search(r"\bPage\s*\d+\s*$", lines[k]) for k in sure)
     return found | sure | (set() if numbered else bare_numbers(lines, full, sure))
@@ -124,10 +124,10 @@ def number(word: str) -> str | None:
     return word.translate(IN_NUMBERS)
 
 
-def body(text: str, shapes: frozenset[str]) -> tuple[list[str], set[int], list[tuple[int, int, str, str]]]:
+def body(text: str, shapes: frozenset[str], near: frozenset[str] = frozenset()) -> tuple[list[str], set[int], list[tuple[int, int, str, str]]]:
     """Lines, furniture, and divided words as (line, next line, first half, second half) with their words' edges stripped."""
     lines = text.split("\n")
-    off = furniture(lines, shapes)
+    off = furniture(lines, shapes, near)
     kept = [k for k, x in enumerate(lines) if k not in off and x.strip()]
     divided = []
     for k, n in zip(kept, kept[1:]):
@@ -141,12 +141,16 @@ def body(text: str, shapes: frozenset[str]) -> tuple[list[str], set[int], list[t
     return lines, off, divided
 
 
-#: At most so many furniture shapes are sent to the workers (the most frequent ones); if there are more, each document gets its own in a join.
+#: At most so many furniture shapes, misread ones included, are sent to the workers; if there are more, each document gets its own in a join.
 MOST_SHAPES = 50_000
+#: Shapes of at least so many characters can be misread; a misread one differs in at most EDITS (a swap of neighbours is one).
+LEAST_SHAPE, EDITS = 12, 2
+#: EDITS edits, swaps counted twice, leave one of so many segments whole.
+SEGMENTS = 2 * EDITS + 1
 
 
 def _counted(documents: DataFrame) -> DataFrame:
-    """(shape, n): the furniture shapes of the corpus."""
+    """(shape, near): the furniture shapes of the corpus, and (near) shapes at page edges that are misreadings of one."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every, edge, again = Counter(), Counter(), Counter()
@@ -166,8 +170,44 @@ def _counted(documents: DataFrame) -> DataFrame:
 
     counts = documents.mapInPandas(count, "shape string, n bigint, edge bigint, again bigint").groupBy("shape")
     counts = counts.agg(F.sum("n").alias("n"), F.sum("edge").alias("edge"), F.sum("again").alias("again"))
-    rows = counts.filter((F.col("n") >= LEAST_LINES) & (F.col("edge") >= LEAST_EDGE * F.col("n")) & (F.col("again") >= LEAST_REPEAT * F.col("n")))
-    return cut(rows.select("shape", "n"))
+    counts = counts.filter("edge > 0").withColumn("sure", (F.col("n") >= LEAST_LINES) & (F.col("edge") >= LEAST_EDGE * F.col("n")) & (F.col("again") >= LEAST_REPEAT * F.col("n")))
+    counts = cut(counts.select("shape", "sure"))
+    sure = counts.filter("sure").select("shape")
+    return cut(sure.select("shape", F.lit(False).alias("near")).unionByName(_misread(counts.filter("NOT sure"), sure).withColumn("near", F.lit(True))))
+
+
+def segments(n: int) -> list[tuple[int, int]]:
+    """(begin, end) of the segments of a shape of n characters."""
+    return [(n * i // SEGMENTS, n * (i + 1) // SEGMENTS) for i in range(SEGMENTS)]
+
+
+def _misread(others: DataFrame, sure: DataFrame) -> DataFrame:
+    """(shape): those of ``others`` at most EDITS edits from a furniture shape of LEAST_SHAPE characters or more.
+
+    Every other shape sends its segments; a furniture shape sends, for each length that a misreading of it can have, what
+    can stand in each segment, shifted by at most EDITS. So a pair within EDITS meets, and only the few furniture shapes
+    send many keys.
+    """
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(s, f"{len(s)}:{i}:{s[x:y]}") for s in b["shape"] if len(s) >= LEAST_SHAPE - EDITS for i, (x, y) in enumerate(segments(len(s)))]
+            yield pd.DataFrame(rows, columns=["shape", "key"])
+
+    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = {
+                (s, f"{n}:{i}:{s[x + k:y + k]}") for s in b["shape"] if len(s) >= LEAST_SHAPE for n in range(len(s) - EDITS, len(s) + EDITS + 1)
+                for i, (x, y) in enumerate(segments(n)) for k in range(-EDITS, EDITS + 1) if x + k >= 0 and y + k <= len(s)
+            }
+            yield pd.DataFrame(sorted(rows), columns=["like", "key"])
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[osa(x, y, EDITS) <= EDITS for x, y in zip(b["shape"], b["like"])]][["shape"]]
+
+    pairs = spread(others).mapInPandas(own, "shape string, key string").join(sure.mapInPandas(sent, "like string, key string"), "key")
+    return pairs.select("shape", "like").distinct().mapInPandas(close, "shape string").distinct()
 
 
 def _own_shapes(documents: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -178,7 +218,9 @@ def _own_shapes(documents: DataFrame, shapes: DataFrame) -> DataFrame:
             rows = [(d, s) for d, t in zip(b["doc_id"], b["ocr_text"]) for s in {shape(x) for x in t.split("\n") if x.strip()}]
             yield pd.DataFrame(rows, columns=["doc_id", "shape"])
 
-    mine = documents.mapInPandas(lines, "doc_id bigint, shape string").join(shapes.select("shape"), "shape").groupBy("doc_id").agg(F.collect_set("shape").alias("shapes"))
+    mine = documents.mapInPandas(lines, "doc_id bigint, shape string").join(shapes, "shape").groupBy("doc_id").agg(
+        F.collect_set(F.when(~F.col("near"), F.col("shape"))).alias("shapes"), F.collect_set(F.when(F.col("near"), F.col("shape"))).alias("near")
+    )
     return documents.join(mine, "doc_id", "left")
 
 
@@ -236,11 +278,72 @@ def repairs(documents: DataFrame, most_shapes: int = MOST_SHAPES) -> DataFrame:
     NULL and empty layers have no repairs; texts without line ends are one line. A document row that repeats counts
     once. Whole texts are read.
     """
+    return _repaired(documents, most_shapes).select("doc_id", "line_no", "kind", "fixed").distinct()
+
+
+def paragraphs(documents: DataFrame, most_shapes: int = MOST_SHAPES) -> DataFrame:
+    """(doc_id, paragraph, text, n_repairs): the layers as continuous paragraphs, counted from 1, with the repairs made.
+
+    Furniture is left out, divided words are put together on the line where they begin, misread ones replaced. Blank and
+    indented lines begin a paragraph, unless a page ends there in the middle of a sentence. ``n_repairs`` is the
+    document's. Layers without any line left have no paragraph; of rows with one doc_id the first text counts.
+    """
+    one = documents.filter("ocr_text IS NOT NULL AND trim(ocr_text) <> ''").groupBy("doc_id").agg(F.min("ocr_text").alias("ocr_text"), F.first("text").alias("text"))
+    made = _repaired(documents.select("doc_id", "ocr_text", "text"), most_shapes).distinct()
+    made = made.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "kind", "typed", "fixed")).alias("made"))  # no more than a document's words
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, text, repaired in zip(b["doc_id"], b["ocr_text"], b["made"]):
+                repaired = [] if repaired is None else [(r["line_no"], r["kind"], r["typed"], r["fixed"]) for r in repaired]
+                rows += [(doc, k, p, len(repaired)) for k, p in enumerate(rebuilt(text, repaired), 1)]
+            yield pd.DataFrame(rows, columns=["doc_id", "paragraph", "text", "n_repairs"])
+
+    return one.select("doc_id", "ocr_text").join(made, "doc_id", "left").mapInPandas(read, "doc_id bigint, paragraph int, text string, n_repairs int")
+
+
+def rebuilt(text: str, made: list[tuple[int, str, str, str]]) -> list[str]:
+    """The paragraphs of a text after its repairs (line, kind, typed, fixed)."""
+    off = {n for n, kind, _, _ in made if kind == "furniture"}
+    whole = {n: fixed for n, kind, _, fixed in made if kind == "hyphen"}
+    wrong = {(n, typed): fixed for n, kind, typed, fixed in made if kind == "misread"}
+    out: list[list[str]] = []
+    gap = page = carried = False
+    for n, line in enumerate(text.split("\n"), 1):
+        if n in off:
+            page = True
+            continue
+        if not line.strip():
+            gap = True
+            continue
+        words = []
+        for raw in line.split():
+            word = raw.strip(EDGES)
+            words.append(raw.replace(word, wrong[n, word], 1) if (n, word) in wrong else raw)
+        if carried:  # the second half stands on the line before; what follows it there too
+            half = words.pop(0)
+            out[-1][-1] += half[len(half.rstrip(EDGES)) :]
+        carried = n in whole
+        if carried:
+            half = words.pop()
+            words.append(half[: len(half) - len(half.lstrip(EDGES))] + whole[n])
+        open_ = out and out[-1] and out[-1][-1][-1:] not in ".?!:।"
+        if not out or ((gap or line[:1].isspace()) and not (page and open_)):
+            out.append([])
+        out[-1] += words
+        gap = page = False
+    return [" ".join(p) for p in out if p]
+
+
+def _repaired(documents: DataFrame, most_shapes: int) -> DataFrame:
+    """(doc_id, line_no, kind, typed, fixed): ``repairs`` with the word as it was read."""
     spark = documents.sparkSession
     scans = spread(documents.select("doc_id", "ocr_text").filter("ocr_text IS NOT NULL AND trim(ocr_text) <> ''"))
     furnished = _counted(scans)
-    top = furnished.orderBy(F.desc("n"), "shape").limit(most_shapes + 1).collect()
-    shapes = spark.sparkContext.broadcast(frozenset(r.shape for r in top[:most_shapes]))
+    top = furnished.limit(most_shapes + 1).collect()
+    sent = [] if len(top) > most_shapes else top
+    shapes = spark.sparkContext.broadcast((frozenset(r.shape for r in sent if not r.near), frozenset(r.shape for r in sent if r.near)))
     if len(top) > most_shapes:
         scans = _own_shapes(scans, furnished)
     vocab = cut(vocabulary(documents))
@@ -251,9 +354,9 @@ def repairs(documents: DataFrame, most_shapes: int = MOST_SHAPES) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            own = b["shapes"] if "shapes" in b else [None] * len(b)
-            for doc, text, some in zip(b["doc_id"], b["ocr_text"], own):
-                lines, off, divided = body(text, shapes.value if some is None else shapes.value | set(some))
+            own = zip(b["shapes"], b["near"]) if "shapes" in b else [shapes.value] * len(b)
+            for doc, text, (some, near) in zip(b["doc_id"], b["ocr_text"], own):
+                lines, off, divided = body(text, frozenset(() if some is None else some), frozenset(() if near is None else near))
                 rows += [(doc, k + 1, "furniture", "", "", False) for k in sorted(off)]
                 skip = set()
                 for k, n, first, second in divided:
@@ -275,17 +378,17 @@ def repairs(documents: DataFrame, most_shapes: int = MOST_SHAPES) -> DataFrame:
                         if not word or (i == 0 and (k, "first") in skip) or (i == len(tokens) - 1 and (k, "last") in skip):
                             continue
                         if (fixed := number(word)) is not None:
-                            rows.append((doc, k + 1, "misread", fixed, "", False))
+                            rows.append((doc, k + 1, "misread", fixed, word, False))
                         elif word not in fine.value and word.isascii():
                             rows.append((doc, k + 1, "word", word, "", starts))
             yield pd.DataFrame(rows, columns=["doc_id", "line_no", "kind", "a", "b", "starts"])
 
     found = cut(scans.mapInPandas(read, "doc_id bigint, line_no int, kind string, a string, b string, starts boolean"))
-    done = found.filter("kind IN ('furniture', 'misread')").select("doc_id", "line_no", "kind", F.col("a").alias("fixed"))
+    done = found.filter("kind IN ('furniture', 'misread')").select("doc_id", "line_no", "kind", F.col("b").alias("typed"), F.col("a").alias("fixed"))
     words = (
         found.filter("kind = 'word'")
         .join(wrong.withColumnRenamed("word", "a"), "a")
-        .select("doc_id", "line_no", F.lit("misread").alias("kind"), F.when(F.col("starts"), F.coalesce("capital", "fixed")).otherwise(F.coalesce("small", "fixed")).alias("fixed"))
+        .select("doc_id", "line_no", F.lit("misread").alias("kind"), F.col("a").alias("typed"), F.when(F.col("starts"), F.coalesce("capital", "fixed")).otherwise(F.coalesce("small", "fixed")).alias("fixed"))
     )
     count = vocab.withColumnRenamed("word", "w")
     halves = found.filter("kind = 'hyphen'").select("doc_id", "line_no", F.concat("a", "b").alias("joined"), F.concat_ws("-", "a", "b").alias("dashed"))
@@ -296,5 +399,5 @@ def repairs(documents: DataFrame, most_shapes: int = MOST_SHAPES) -> DataFrame:
     ways = ways.join(fix, "joined", "left").select(
         "joined", "dashed", F.when(F.coalesce("n_dashed", F.lit(0)) > F.coalesce("n_joined", F.lit(0)), F.col("dashed")).otherwise(F.coalesce("right", "joined")).alias("fixed")
     )
-    divided = halves.join(ways, ["joined", "dashed"]).select("doc_id", "line_no", F.lit("hyphen").alias("kind"), "fixed")
-    return done.unionByName(words).unionByName(divided).distinct()
+    divided = halves.join(ways, ["joined", "dashed"]).select("doc_id", "line_no", F.lit("hyphen").alias("kind"), F.col("joined").alias("typed"), "fixed")
+    return done.unionByName(words).unionByName(divided)

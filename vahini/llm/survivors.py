@@ -3,10 +3,11 @@
 Groups are connected components over shared keys. A key links its rows through its smallest row, so a key with n rows
 costs n edges, and components shrink by alternating star contractions over the distinct edges, cut by checkpoints.
 
-Fields that depend on each other form a bundle and survive together. Without a violated dependency the best candidate
-of every bundle is the best choice (a branch-and-bound bound that is reached at the root), so it is taken by one
-aggregation with map-side combine; only groups whose root choice breaks a functional dependency branch, over the best
-candidate per distinct value of the bundle.
+Fields that depend on each other form a bundle and survive together, whole. ``choose_bundles`` is a branch and bound: the
+bound takes every bundle's most trusted candidate, which one aggregation with map-side combine gives for all groups (the
+root). Where the root breaks no functional dependency the bound is reached and nothing branches; the other groups branch
+over the best candidate per distinct value of the bundles that the dependency ties. With the fields' own rules and no
+dependency (p6_found) every group ends at its root.
 """
 
 from __future__ import annotations
@@ -47,12 +48,16 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Bundle:
-    """Fields that survive together. ``present``: whether a row has it; ``rank``: greatest wins (before: smallest row_id)."""
+    """Fields that survive together. ``present``: whether a row has it; ``rank``: greatest wins (before: smallest row_id).
+
+    ``has``: whether the row has a value for each field, if the bundle may be there in part.
+    """
 
     name: str
     fields: tuple[str, ...]
     present: Column
     rank: tuple[Column, ...]
+    has: tuple[Column, ...] = ()
 
 
 def _candidates(members: DataFrame, bundle: Bundle) -> DataFrame:
@@ -67,15 +72,12 @@ def _candidates(members: DataFrame, bundle: Bundle) -> DataFrame:
     )
 
 
-def survivors(members: DataFrame, bundles: list[Bundle]) -> DataFrame:
-    """(group_id, field, row_id): per bundle the row whose values survive, dependencies aside; no row without a value."""
-    best = members.groupBy("group_id").agg(
-        *[
-            F.max(F.when(b.present, F.struct(*[r.alias(f"r{i}") for i, r in enumerate(b.rank)], (-F.col("row_id")).alias("last")))).alias(b.name)
-            for b in bundles
-        ]
-    )
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), (-F.col(b.name)["last"]).alias("row_id")) for b in bundles for f in b.fields])
+def _root(members: DataFrame, bundles: list[Bundle]) -> DataFrame:
+    """(group_id, field, row_id): every bundle's most trusted row, dependencies aside; no row without a value."""
+    order = lambda b: [*[r.alias(f"r{i}") for i, r in enumerate(b.rank)], (-F.col("row_id")).alias("last"), *[h.alias(f"h{i}") for i, h in enumerate(b.has)]]
+    best = members.groupBy("group_id").agg(*[F.max(F.when(b.present, F.struct(*order(b)))).alias(b.name) for b in bundles])
+    row = lambda b, i: F.when(F.col(b.name)[f"h{i}"] if b.has else F.lit(True), -F.col(b.name)["last"])
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), row(b, i).alias("row_id")) for b in bundles for i, f in enumerate(b.fields)])
     return best.select("group_id", F.explode(cells).alias("c")).select("group_id", "c.*").filter("row_id IS NOT NULL")
 
 
@@ -87,14 +89,16 @@ class Dependency:
     then: str
 
 
-def consistent_survivors(members: DataFrame, bundles: list[Bundle], known: DataFrame, dependency: Dependency) -> DataFrame:
-    """``survivors`` under a functional dependency between two bundles' fields, by branch and bound in the groups that break it.
+def choose_bundles(members: DataFrame, bundles: list[Bundle], known: DataFrame | None = None, dependency: Dependency | None = None) -> DataFrame:
+    """(group_id, field, row_id): the bundles of greatest trust, under a functional dependency between two of them if there is one.
 
     ``known`` holds the pairs (given, then) that are right, in lower case; a value it doesn't name contradicts nothing. Trust is the
-    position among the candidates (0 is best, summed over both bundles, the dependent one counting once more on ties), and leaving a bundle without a value costs
-    more than any candidate. Branches whose bound is not below the best found are cut.
+    position among the candidates (1 is best, summed over both bundles; of equal sums the better given one), and leaving a bundle
+    without a value costs more than any candidate. Branches whose bound is not below the best found are cut.
     """
-    root = survivors(members, bundles)
+    root = _root(members, bundles)
+    if dependency is None:
+        return root
     by = {f: b for b in bundles for f in b.fields}
     first, second = by[dependency.given], by[dependency.then]
 
@@ -172,13 +176,19 @@ def tender_bundles() -> list[Bundle]:
     ]
 
 
+AMOUNTS = ("estimated_value_inr", "emd_inr")
+
+
 def tender_survivors(rows: DataFrame, portals: DataFrame) -> DataFrame:
-    return survivors(tender_members(rows, portals), tender_bundles())
+    return choose_bundles(tender_members(rows, portals), tender_bundles())
 
 
 def consistent_tenders(rows: DataFrame, portals: DataFrame, places: DataFrame) -> DataFrame:
-    """As ``tender_survivors`` with the taluka besides, taluka and district never contradicting the reference list."""
+    """As ``tender_survivors``, but the two amounts are one bundle (the row with more of them, then as one alone), and the
+    taluka survives besides, taluka and district never contradicting the reference list."""
     seen = F.coalesce(F.unix_micros("last_seen_at"), F.lit(-(2**62)))
-    bundles = [*tender_bundles(), Bundle("taluka", ("taluka",), ~is_filler(F.col("taluka")), (seen,))]
+    has = tuple(F.coalesce(F.col(c) != 0, F.lit(False)) for c in AMOUNTS)
+    money = Bundle("amounts", AMOUNTS, has[0] | has[1], (has[0].cast("int") + has[1].cast("int"), -F.col("trust_rank"), seen), has)
+    bundles = [*[b for b in tender_bundles() if b.name not in AMOUNTS], money, Bundle("taluka", ("taluka",), ~is_filler(F.col("taluka")), (seen,))]
     known = places.filter("taluka IS NOT NULL").select("taluka", "district")
-    return consistent_survivors(tender_members(rows, portals), bundles, known, Dependency("taluka", "district"))
+    return choose_bundles(tender_members(rows, portals), bundles, known, Dependency("taluka", "district"))

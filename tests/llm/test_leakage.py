@@ -44,6 +44,17 @@ def test_found(spark):
     assert blocks == {(1, 70), (3, 70), (4, 70), (8, 70)}
 
 
+def test_interruptions_of_any_length_and_added_words(spark):
+    rng = random.Random(8)
+    item = words(ITEM)
+    filler = lambda n: [rng.choice(["the", "officer", "of", "site", "every", "inspected", "and", "for", "is", "by"]) for _ in range(n)]
+    far = filler(300) + item[:9] + filler(600) + item[9:18] + filler(900) + item[18:] + filler(50)
+    added = [x for w in item for x in ([w, "quite"] if rng.random() < 0.7 else [w])]
+    docs = [(1, " ".join(far)), (2, " ".join(added)), (3, " ".join(filler(6_000))), (4, " ".join(filler(300) + item[:12] + filler(3_000)))]
+    got = L.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(70, ITEM)], "item_id bigint, text string"))
+    assert {r.doc_id for r in got.collect()} == {1, 2}
+
+
 def test_against_all_pairs(spark, small):
     d, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/eval_items.parquet")
     got = {(r.doc_id, r.item_id) for r in L.find_leaks(d, items).collect()}

@@ -14,8 +14,10 @@ def test_counts_match_the_tokenizer_and_parts_do_not_change_them(monkeypatch):
     count = M._counter(M.TOKENIZER)
     text = "The chief officer shall ensure that पाणीपुरवठा work is issued. " * 40
     whole = count(text)
+    glued = "abc123.-पाणी!!x9" * 60
+    other = [count(glued), count("x" * 500), count("a  b\n\n  c " * 80)]
     monkeypatch.setattr(M, "PART", 100)
-    assert count(text) == whole and count("x" * 500) > 0
+    assert count(text) == whole and [count(glued), count("x" * 500), count("a  b\n\n  c " * 80)] == other
 
 
 def test_split_tree_is_exact():

@@ -34,3 +34,14 @@ def test_a_long_list_is_joined(spark, small):
     sent = {tuple(r) for r in map_places(t, ref).collect()}
     joined = {tuple(r) for r in map_places(t, ref, most=5).collect()}
     assert sent == joined and len(sent) > 50
+
+
+def test_weights_of_a_part_are_those_of_the_list(spark):
+    from vahini.llm.places import _idf
+
+    ref = Reference(REF)
+    got = {r.place_id: (r.idf_t, r.idf_d) for r in _idf(spark.createDataFrame(REF, "place_id bigint, district string, taluka string, code string, former_name string, name_mr string")).collect()}
+    part = Reference([r for r in REF if r[0] in (1, 2, 12, 13)], got)
+    for (name, d), place in part.taluka_entry.items():
+        whole = next(k for k, v in ref.taluka_entry.items() if v == place)
+        assert abs(part.idf["t", name] - ref.idf["t", whole[0]]) < 1e-9 and abs(part.idf["d", d] - ref.idf["d", whole[1]]) < 1e-9

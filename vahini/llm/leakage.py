@@ -1,12 +1,14 @@
 """Problem 8: held-out evaluation items inside corpus documents, as a prefix-filtered set join.
 
 Shingles here are pairs of neighbouring words, because a case needs only 55 of 100 words in order, with words changed
-and the passage interrupted (the statement overrides the usual five words at 0.8). If at least a share ``share`` of an
-item's n words is matched, at least ``2 * share * n - n - 1`` neighbouring pairs have both words matched; of those
-``SPLIT`` may be torn apart by insertions in the document. An item's shingles are ordered by their number of documents
-in the whole corpus, rarest first; a document that holds ``least`` of m shingles holds one of the first m - least + 1.
-Candidates are then bounded by length and by the number of distinct shared shingles, and verified exactly: the longest
-common subsequence with the item (bit-parallel) over windows of ``WINDOW`` item lengths.
+and the passage interrupted (the statement overrides the usual five words at 0.8). In a document a pair may have one
+word more between its two, so single words added tear none. If at least a share ``share`` of an item's n words is
+matched, at least ``2 * share * n - n - 1`` neighbouring pairs have both words matched; of those ``SPLIT`` may be torn
+apart by longer interruptions. An item's shingles are ordered by their number of documents in the whole corpus, rarest
+first; a document that holds ``least`` of m shingles holds one of the first m - least + 1. Candidates are then bounded
+by length and by the number of distinct shared shingles, and verified exactly: the longest common subsequence with the
+item (bit-parallel) over windows of ``WINDOW`` item lengths, and, in longer documents, over all that stands around
+matched shingles, however far apart, so that a passage may be interrupted at any length.
 
 The items go out behind a check of their number, in blocks of ``BLOCK``; each block is one map over the documents and
 nothing of the corpus is shuffled but the shingle counts.
@@ -57,8 +59,27 @@ def best_window(masks: dict[str, int], n: int, text: list[str], window: int = WI
     return max(common(masks, n, text[a : a + size]) for a in range(0, len(text) - size // 2, size // 2))
 
 
-def least_shingles(n: int, share: float) -> int:
-    return max(1, int(2 * share * n - n - 1e-9) - 1 - SPLIT)
+#: Words on each side of a matched shingle that count as around it; a shingle without another one within so many words is chance.
+REACH = 4
+
+
+def around(shingles: set, text: list[str]) -> list[str]:
+    """The words around those of an item's shingles in a text that stand close to another one."""
+    at = [i for i, pair in enumerate(zip(text, text[1:])) if pair in shingles]
+    near = [i for k, i in enumerate(at) if (k and i - at[k - 1] <= REACH) or (k + 1 < len(at) and at[k + 1] - i <= REACH)]
+    keep = sorted({j for i in near for j in range(max(0, i - REACH), min(len(text), i + 2 + REACH))})
+    return [text[j] for j in keep]
+
+
+def most_in_order(shingles: set, masks: dict[str, int], n: int, text: list[str]) -> int:
+    """The item's words found in order: in a window, or in a long text around its shingles."""
+    got = best_window(masks, n, text)
+    return got if len(text) <= WINDOW * n else max(got, common(masks, n, around(shingles, text)))
+
+
+def least_shingles(n: int, share: float, distinct: int) -> int:
+    """Fewest distinct shingles of a document that holds the share of an item of n words with so many distinct ones."""
+    return max(1, int(2 * share * n - n - 1e-9) - 1 - SPLIT - (n - 1 - distinct))
 
 
 class Items:
@@ -72,12 +93,14 @@ class Items:
         self.ids = {s: k for k, s in enumerate(sorted(set().union(*self.shingles.values())))} if self.words else {}
         self.prefix: dict[int, list[int]] = {}
         self.all: dict[int, list[int]] = defaultdict(list)
+        self.single = any(len(w) == 1 for w in self.words.values())
 
     def order(self, counts: dict[int, int]) -> None:
         prefix = defaultdict(list)
+        self.least = {i: least_shingles(len(w), self.share, len(self.shingles[i])) for i, w in self.words.items()}
         for i, ss in self.shingles.items():
             ranked = sorted((self.ids[s] for s in ss), key=lambda k: (counts.get(k, 0), k))
-            for k in ranked[: max(1, len(ranked) - least_shingles(len(self.words[i]), self.share) + 1)]:
+            for k in ranked[: max(1, len(ranked) - self.least[i] + 1)]:
                 prefix[k].append(i)
             for k in ranked:
                 self.all[k].append(i)
@@ -85,10 +108,10 @@ class Items:
 
     def of(self, text: list[str]) -> set[int]:
         """Ids of the shingles of a document that occur in items."""
-        got = {self.ids.get(s) for s in zip(text, text[1:])}
-        got |= {self.ids.get((w, "")) for w in text} if any(len(w) == 1 for w in self.words.values()) else set()
-        got.discard(None)
-        return got
+        pairs = {*zip(text, text[1:]), *zip(text, text[2:])}
+        if self.single:
+            pairs |= {(w, "") for w in text}
+        return {self.ids[s] for s in self.ids.keys() & pairs}
 
     def found(self, text: list[str]) -> list[tuple[int, float]]:
         """(item, share of its words found in order), for shares of at least ``share``."""
@@ -103,11 +126,11 @@ class Items:
         out = []
         for i, k in shared.items():
             n = len(self.words[i])
-            if k < least_shingles(n, self.share) or len(text) < self.share * n:
+            if k < self.least[i] or len(text) < self.share * n:
                 continue
             if sum(m.bit_count() for w, m in self.masks[i].items() if w in have) < self.share * n:
                 continue
-            got = best_window(self.masks[i], n, text)
+            got = most_in_order(self.shingles[i], self.masks[i], n, text)
             if got >= self.share * n - 1e-9:
                 out.append((i, got / n))
         return out

@@ -26,26 +26,29 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCKS = 2048
 # Fixed value: how the byte-level vocabulary splits text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters given to the tokenizer at once; longer texts are cut at white space, where no token crosses (or hard, without any).
+#: Characters given to the tokenizer at once; longer texts are cut between the pieces that PATTERN makes, which no token crosses.
 PART = 200_000
 
 
 @lru_cache(4)
 def _counter(path: str) -> Callable[[str], int]:
+    import regex
     import tiktoken
 
+    pieces = regex.compile(PATTERN)
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     coding = tiktoken.Encoding("vahini", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def count(text: str) -> int:
-        n = 0
-        while len(text) > PART:
-            at = text.rfind(" ", 1, PART)
-            at = at if at > 0 else PART
-            n += len(coding.encode_ordinary(text[:at]))
-            text = text[at:]
-        return n + len(coding.encode_ordinary(text))
+        n, begin = 0, 0
+        while len(text) - begin > PART:
+            # The piece that stands at the limit begins where the last one before it ends: found from the last blank on, if there is one.
+            blank = text.rfind(" ", begin + 1, begin + PART)
+            at = next(m.end() for m in pieces.finditer(text, blank if blank > 0 else begin) if m.end() >= begin + PART)
+            n += len(coding.encode_ordinary(text[begin:at]))
+            begin = at
+        return n + len(coding.encode_ordinary(text[begin:]))
 
     return count
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,7 +34,8 @@ _WORD = re.compile(r"a/p|[^\W_]+(?:[̀-ͯऀ-ॿ]+[^\W_]*)*\.*", re.IGNORECASE)
 class Reference:
     """The vocabulary: folded spelling -> [(kind, name id)], with delete keys; entries by name and district."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple], idf: dict[int, tuple[float, float]] | None = None):
+        """``idf``: per place_id that of the taluka's and of the district's name, where the rows are only a part of the list."""
         self.spell: dict[str, set[tuple[str, int]]] = defaultdict(set)
         self.codes: dict[str, int] = {}
         self.district_entry: dict[int, int] = {}
@@ -66,6 +68,11 @@ class Reference:
             count[("t", name)] += 1
             count[("d", d)] += 1
         self.idf = {k: math.log(1 + entries / n) for k, n in count.items()}
+        if idf is not None:
+            for (name, d), place_id in self.taluka_entry.items():
+                self.idf["t", name], self.idf["d", d] = idf[place_id]
+        self.sorted = sorted(self.spell)
+        self.slots: dict[tuple[str, str], list] = {}
         self.memo: dict[str, list[tuple[str, int, float]]] = {}
 
     def repair(self, word: str) -> list[tuple[str, int, float]]:
@@ -96,18 +103,27 @@ class Reference:
                         for kn in self.spell[other]:
                             best[kn] = max(best.get(kn, 0.0), 1 - e / max(len(s), len(other)))
         if not best and word.endswith(".") and len(s) >= 3:
-            for other, kns in self.spell.items():
-                if other.startswith(s) and len(other) > len(s):
-                    for kn in kns:
+            for other in self.sorted[bisect_left(self.sorted, s) : bisect_left(self.sorted, s + "\uffff")]:
+                if len(other) > len(s):
+                    for kn in self.spell[other]:
                         best[kn] = 0.75
         top = max(best.values(), default=0)
         return [(k, n, v) for (k, n), v in sorted(best.items()) if v == top]
 
     def place(self, location: str | None, district: str | None, taluka: str | None) -> int:
         """The entry that the three fields name together, 0 if none."""
-        slots = [*self._slots(district, "d"), *self._slots(taluka, "t"), *self._slots(location, "")]
+        slots = [*self._read(district, "d"), *self._read(taluka, "t"), *self._slots(location, "")]
         return self._rank(slots)
 
+    def _read(self, text: str | None, default: str) -> list:
+        """``_slots`` of a short field, whose texts come again."""
+        got = self.slots.get((default, text))
+        if got is None:
+            if len(self.slots) > 100_000:
+                self.slots.clear()
+            got = self.slots[default, text] = list(self._slots(text, default))
+        return got
+
     def _slots(self, text: str | None, default: str) -> Iterator[list[tuple[str, int, float]]]:
         if not text or not text.strip():
             return
@@ -260,6 +276,21 @@ def _tokens(*texts: str | None) -> set[str]:
     return out
 
 
+def _idf(entries: DataFrame) -> DataFrame:
+    """(place_id, idf_t, idf_d) over the whole list: of the taluka's and of the district's name."""
+
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"place_id": b["place_id"], "d": [fold(x or "") for x in b["district"]], "t": [None if x is None or x != x else fold(x) for x in b["taluka"]]})
+
+    e = cut(entries.select("place_id", "district", "taluka").mapInPandas(folded, "place_id bigint, d string, t string"))
+    talukas = e.filter("t IS NOT NULL").select("t", "d").distinct()
+    n = talukas.count() + e.filter("t IS NULL").select("d").distinct().count()
+    idf = lambda c: F.log(1 + F.lit(n) / F.coalesce(c, F.lit(n)))
+    n_t, n_d = talukas.groupBy("t").agg(F.count("*").alias("n_t")), talukas.groupBy("d").agg(F.count("*").alias("n_d"))
+    return e.join(n_t, "t", "left").join(n_d, "d", "left").select("place_id", idf("n_t").alias("idf_t"), idf("n_d").alias("idf_d"))
+
+
 def _by_join(todo: DataFrame, entries: DataFrame, key: str, schema: str) -> DataFrame:
     """The same for a list of any length: distinct tokens join the names on delete keys, and each row is read with the
     entries that its tokens found (and their districts' own entries) as its reference."""
@@ -278,11 +309,14 @@ def _by_join(todo: DataFrame, entries: DataFrame, key: str, schema: str) -> Data
             rows = [tuple(None if x is None or x != x else x for x in r) for r in b.itertuples(index=False)]
             yield pd.DataFrame([(r[0], k) for r in rows for k in _name_keys(r)], columns=["place_id", "k"])
 
+    weights = _idf(entries)
     typed = cut(spread(todo).mapInPandas(words_of, schema.replace("place_id bigint", "token string")))
     near = spread(typed.select("token").distinct()).mapInPandas(keys_of, "token string, k string")
     near = near.join(spread(entries).mapInPandas(names_of, "place_id bigint, k string"), "k").select("token", "place_id").distinct()
     own = entries.filter("taluka IS NULL").select("district", F.struct(*COLUMNS).alias("own"))
-    full = entries.join(own, "district", "left").select("place_id", F.array_compact(F.array(F.struct(*COLUMNS), F.col("own"))).alias("es"))
+    entry = F.struct(*COLUMNS, "idf_t", "idf_d")
+    full = entries.join(weights, "place_id").join(own.withColumn("own", F.struct("own.*", F.lit(0.0).alias("idf_t"), F.lit(0.0).alias("idf_d"))), "district", "left")
+    full = full.select("place_id", F.array_compact(F.array(entry, F.col("own"))).alias("es"))
     # The entries near the few tokens of one row are few.
     mine = typed.join(near, "token").select(key, "place_id").distinct().join(full, "place_id").groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("es"))).alias("es"))
 
@@ -290,7 +324,7 @@ def _by_join(todo: DataFrame, entries: DataFrame, key: str, schema: str) -> Data
         for b in batches:
             out = []
             for k, es, *v in zip(b[key], b["es"], *(b[f] for f in FIELDS)):
-                ref = Reference([tuple(e[c] for c in COLUMNS) for e in es]) if es is not None and len(es) else None
+                ref = Reference([tuple(e[c] for c in COLUMNS) for e in es], {e["place_id"]: (e["idf_t"], e["idf_d"]) for e in es}) if es is not None and len(es) else None
                 out.append((k, ref.place(*v) if ref else 0))
             yield pd.DataFrame(out, columns=[key, "place_id"])
 

@@ -47,7 +47,7 @@ def test_many_shapes_are_joined(spark):
 def test_misread_shapes_against_all_pairs(spark):
     import random
 
-    from vahini.functions.latin import osa
+    from vahini.llm.latin import osa
 
     rng = random.Random(1)
     sure = ["".join(rng.choice("A+ #.abc") for _ in range(rng.randrange(10, 30))) for _ in range(40)]

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vahini.functions.latin import deletes, fold, osa, romanise
+from vahini.llm.latin import deletes, fold, osa, romanise
 from vahini.session import cut, spread
 
 #: Reference entries that may be sent to every worker (about 100 bytes and 60 delete keys each).

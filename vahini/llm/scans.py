@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vahini.functions.latin import osa
+from vahini.llm.latin import osa
 from vahini.session import cut, spread
 
 # Characters that recognisers take for each other, each with the one that stands for its class.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from vahini.functions.latin import fold, romanise
+from vahini.llm.latin import fold, romanise
 
 # How each kind of work is named, longest names first within a kind.
 KINDS = {

@@ -134,3 +134,22 @@ def code_date(c: Column) -> Column:
 def days_close(a: Column, b: Column, days: int = 1) -> Column:
     """At most so many days apart; two unknown days are close, one isn't."""
     return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(F.abs(F.datediff(a, b)) <= days)
+
+
+def epoch_or_zero(c: Column) -> Column:
+    """Seconds since 1970 of a portal time (taken as UTC), 0 where it can't be read."""
+    return F.coalesce(F.unix_timestamp(portal_time(c).cast("timestamp")), F.lit(0))
+
+
+def iso_day(c: Column) -> Column:
+    """dd-mm-yyyy and dd/mm/yyyy as yyyy-mm-dd, NULL for other texts and impossible days."""
+    day = F.call_function("try_to_timestamp", F.regexp_replace(F.trim(c), "/", "-"), F.lit("d-M-yyyy"))
+    return F.when(F.trim(c).rlike(r"^\d{1,2}([-/])\d{1,2}\1\d{4}$"), F.date_format(day, "yyyy-MM-dd"))
+
+
+def indian_label(ts: Column) -> Column:
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit("Asia/Kolkata"), ts.cast("timestamp_ntz")), "dd MMM yyyy, HH:mm 'IST'")
+
+
+def indian_iso(ts: Column) -> Column:
+    return F.concat(F.date_format(F.convert_timezone(F.lit("UTC"), F.lit("Asia/Kolkata"), ts.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30"))

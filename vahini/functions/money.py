@@ -79,3 +79,19 @@ def value_bucket(v: Column, share: float = 0.02) -> Column:
 def known_sum(v: Column) -> Column:
     """Exact sum of what is known, 0 if nothing is."""
     return F.coalesce(F.sum(v), F.lit(0)).cast("decimal(38,2)")
+
+
+def plain_text(v: Column) -> Column:
+    """The exact amount as text without an exponent or zeros at the end; NULL stays NULL."""
+    s = v.cast("string")
+    return F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+
+
+def text_amounts(c: Column) -> Column:
+    """All amounts of a text, in its order: after a rupee sign or word, or before a crore word (in full rupees)."""
+    s = ascii_digits(c)
+    number = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
+    exact = lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast(MONEY)
+    rupees = F.transform(F.regexp_extract_all(s, F.lit(rf"(?i)(?:रु|\brs|\binr|₹)\.?\s*{number}"), F.lit(1)), exact)
+    crores = F.transform(F.regexp_extract_all(s, F.lit(rf"(?i){number}\s*(?:कोटी|कोटि|crore)"), F.lit(1)), lambda x: (exact(x) * F.lit(10_000_000)).cast(MONEY))
+    return F.array_compact(F.concat(rupees, crores))

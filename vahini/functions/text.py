@@ -93,3 +93,97 @@ def safe_cell(c: Column) -> Column:
 def org_chain(c: Column) -> Column:
     """Segments of an organisation chain separated by '||', empty ones left out."""
     return F.filter(F.transform(F.split(c, r"\|\|"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+# Forms of address before a contractor's name, and legal forms that are no part of its key.
+ADDRESS_FORMS = r"(?i)^(m\s*/?\s*s\.?|messrs\.?|shri\.?|sri\.?|smt\.?|mr\.?|mrs\.?)\s+"
+KEY_FORMS = r"\b(pvt|private|ltd|limited|co|company|corporation|corp)\b"
+
+
+def display_name(c: Column) -> Column:
+    """A name as typed, without outer punctuation and odd spaces."""
+    return F.regexp_replace(clean(c), r"^[ .,-]+|[ .,-]+$", "")
+
+
+def contractor_key(c: Column) -> Column:
+    """One key for a name's spellings with and without forms of address and legal forms; the bare name where nothing would be left."""
+    bare = F.lower(F.regexp_replace(F.regexp_replace(display_name(c), ADDRESS_FORMS, ""), r"^[ .,-]+|[ .,-]+$", ""))
+    short = squeeze(F.regexp_replace(F.regexp_replace(bare, r"[.,&'\"()/\\-]", " "), KEY_FORMS, " "))
+    return F.coalesce(F.nullif(short, F.lit("")), bare)
+
+
+def partial(a: Column, b: Column) -> Column:
+    """100 where one text (lower case, single spaces) is in the other, else 0; 0 for NULL and blank ones."""
+    x, y = squeeze(F.lower(a)), squeeze(F.lower(b))
+    return F.when((F.length(x) > 0) & (F.length(y) > 0) & (x.contains(y) | y.contains(x)), 100).otherwise(0)
+
+
+def distinctive(c: Column, generic: tuple[str, ...], least: int = 4) -> Column:
+    """Distinct Latin words of at least so many letters, in lower case, without the generic ones."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(rf"([a-z]{{{least},}})"), F.lit(1)))
+    return F.array_except(words, F.array(*map(F.lit, generic)))
+
+
+def first_listed(c: Column, names: list[str]) -> Column:
+    """The first of the names, in their order, that is in the text whatever the case; NULL if none is."""
+    low = F.lower(c)
+    return F.try_element_at(F.filter(F.array(*map(F.lit, names)), lambda n: low.contains(F.lower(n))), F.lit(1))
+
+
+def title_block(c: Column, id_pattern: str) -> Column:
+    """struct(title, ref, id) of "[title] [reference][id]": the id is last, the reference the bracketed group before it (it
+    may hold bracketed groups itself). Without an id everything is the title."""
+    whole = rf"^(.*?)\s*(?:\[((?:[^\[\]]|\[[^\[\]]*\])*)\])?\s*\[({id_pattern})\]\s*$"
+    has = c.rlike(whole)
+    strip = lambda x: F.regexp_replace(x, r"^[\[\]\s]+|[\[\]\s]+$", "")
+    part = lambda i: F.when(has, F.trim(F.regexp_extract(c, whole, i))).otherwise("")
+    return F.struct(F.when(has, strip(F.regexp_extract(c, whole, 1))).otherwise(strip(c)).alias("title"), part(2).alias("ref"), part(3).alias("id"))
+
+
+def first_int(c: Column) -> Column:
+    return F.nullif(F.regexp_extract(c, r"(\d+)", 1), F.lit("")).try_cast("int")
+
+
+def caption(pairs: Column, keys: list[str]) -> Column:
+    """The first non-empty value of a caption map under one of the keys, in their order: equal captions first, then those that hold a key."""
+    known = F.filter(F.map_entries(pairs), lambda e: F.trim(e["value"]) != "")
+    low = lambda e: F.lower(F.trim(e["key"]))
+    first = lambda test: F.try_element_at(F.filter(known, test), F.lit(1))["value"]
+
+    def equals(k: str):
+        return lambda e: low(e) == k.lower()
+
+    def holds_it(k: str):
+        return lambda e: low(e).contains(k.lower())
+
+    equal, holds = [first(equals(k)) for k in keys], [first(holds_it(k)) for k in keys]
+    return F.trim(F.coalesce(*equal, *holds))
+
+
+def script(c: Column) -> Column:
+    """'mr' where a text has Devanagari letters, else 'en'."""
+    return F.when(F.coalesce(c, F.lit("")).rlike("[\\u0900-\\u097F]"), "mr").otherwise("en")
+
+
+# Funding schemes with what names them, in the order in which they are tried.
+SCHEMES = (
+    (r"(?i)\bjjm\b|jal jeevan", "Jal Jeevan Mission"), (r"(?i)\bpmgsy\b|pradhan mantri gram sadak", "PMGSY"), (r"(?i)\bamrut\b", "AMRUT"), (r"(?i)nagarothan|nagrotthan", "Nagarothan"),
+    (r"(?i)amdar|aamdar|\bmla\b fund|mla local|आमदार", "Amdar Nidhi / MLA fund"), (r"(?i)khasdar|\bmp\b fund|mplad|खासदार", "Khasdar / MP fund"),
+    (r"(?i)\bdpdc\b|d\.p\.d\.c|district planning|जिल्हा नियोजन|niyojan", "DPDC / District Planning"), (r"(?i)dalit\s*vasti|dalitvasti|dalit wasti", "Dalit Vasti"),
+    (r"(?i)15th finance|vitta ayog|vitt ayog", "15th Finance Commission"), (r"(?i)nrega|mgnrega|rojgar hami", "MGNREGA"),
+)
+# Publishers of a level.
+LEVELS = ((r"(?i)nhai|morth|cpwd|\baai\b|jnpa|railway|central|world bank|\badb\b", "central"), (r"(?i)municipal|corporation|nagar palika|zilla parishad|gram panchayat|\bzp\b", "local"))
+
+
+def funding_scheme(c: Column) -> Column:
+    return first_rule(c, list(SCHEMES), "")
+
+
+def funding_level(c: Column) -> Column:
+    return first_rule(c, list(LEVELS), "state")
+
+
+def funding_source(c: Column) -> Column:
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(low.contains("world bank"), "world_bank").when(low.rlike(r"\badb\b|asian development"), "adb").when(funding_scheme(c) != "", "css").otherwise("unknown")

@@ -69,3 +69,18 @@ def audit(rows: DataFrame, before: Column, after: Column) -> DataFrame:
     return rows.agg(
         F.count("*").alias("n_scanned"), F.count_if(after.isNull()).alias("n_unknown"), F.count_if(after.isNotNull() & same).alias("n_unchanged"), F.count_if(after.isNotNull() & ~same).alias("n_corrected")
     )
+
+
+def sorted_list(rows: DataFrame, column: str, descending: bool, key: str, most: int) -> DataFrame:
+    """The first rows in the order of a column, texts whatever their case, unknown values last, ties by key (the feature of a list of bounded length)."""
+    c = F.lower(column) if rows.schema[column].dataType.typeName() == "string" else F.col(column)
+    return rows.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), key).limit(limit(most, most))
+
+
+def limit(typed: str | int | None, default: int) -> int:
+    """A number of rows as typed; what is no number or negative is the default."""
+    try:
+        n = int(str(typed))
+    except ValueError:
+        return default
+    return n if n >= 0 else default

@@ -162,25 +162,6 @@ def latest_approval(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy(F.col("id").alias("project_id")).agg(F.max(F.struct("x.issue_date", "x.doc_code")).alias("m")).select("project_id", "m.doc_code", "m.issue_date")
 
 
-@query(
-    "a28_component_check",
-    f"""SELECT row_id, abs(emd_inr * 100 - estimated_value_inr) > estimated_value_inr * 0.02 AS differs FROM {TENDERS} WHERE emd_inr >= 1000 AND estimated_value_inr > 0""",
-)
-def component_check(spark: SparkSession, d: str) -> DataFrame:
-    t = tenders(spark, d).filter("emd_inr >= 1000 AND estimated_value_inr > 0")
-    return t.select("row_id", (F.abs(F.col("emd_inr") * 100 - F.col("estimated_value_inr")) > F.col("estimated_value_inr") * F.lit(0.02).cast("decimal(3,2)")).alias("differs"))
-
-
-@query(
-    "a29_money_audit",
-    f"""SELECT count(*) AS n_scanned, count_if(v IS NULL) AS n_unknown, count_if(v IS NOT NULL AND n_chars IS NOT DISTINCT FROM v) AS n_unchanged, count_if(v IS NOT NULL AND n_chars IS DISTINCT FROM v) AS n_corrected
-        FROM (SELECT n_chars, length(text) AS v FROM documents)""",
-)
-def length_audit(spark: SparkSession, d: str) -> DataFrame:
-    """The stored lengths of documents against their texts."""
-    return watch.audit(table(spark, d, "documents"), F.col("n_chars"), F.length("text").cast("bigint"))
-
-
 @query(
     "o03_two_part_order",
     f"""SELECT contractor_id, total_inr, n FROM (SELECT contractor_id, CAST(coalesce(sum(award_value_inr), 0) AS DECIMAL(38,2)) AS total_inr, count(*) AS n FROM {AWARDS} GROUP BY 1) ORDER BY total_inr DESC, n DESC, contractor_id NULLS FIRST LIMIT 60""",
@@ -213,33 +194,8 @@ def best_candidate(spark: SparkSession, d: str) -> DataFrame:
     return a.join(best, "aw").select("award_id", "m.contractor_id", (-F.col("m.r")).alias("ratio"))
 
 
-@query(
-    "w07_running_share",
-    f"""SELECT publishing_org AS org, total_inr, sum(total_inr) OVER (ORDER BY total_inr DESC, publishing_org NULLS FIRST ROWS UNBOUNDED PRECEDING) AS running_inr FROM (SELECT publishing_org, CAST(coalesce(sum(estimated_value_inr), 0) AS DECIMAL(28,2)) AS total_inr FROM {ONE} GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 100)""",
-)
-def running_share(spark: SparkSession, d: str) -> DataFrame:
-    """A running sum over the top hundred organisations (a report of bounded size, so one task may order it)."""
-    t = one_per_tender(tenders(spark, d).select("id", "row_id", "last_seen_at", "publishing_org", "estimated_value_inr"))
-    order = [F.desc("total_inr"), F.col("org").asc_nulls_first()]
-    top = t.groupBy(F.col("publishing_org").alias("org")).agg(money.known_sum(F.col("estimated_value_inr")).cast("decimal(28,2)").alias("total_inr")).orderBy(*order).limit(100)
-    return top.withColumn("running_inr", F.sum("total_inr").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-
-
 @query("f37_codes_in_urls", r"SELECT doc_id, nullif(regexp_extract(coalesce(nullif(regexp_extract(url, '([0-9]{13,20})', 1), ''), doc_code), '([0-9]{13,20})', 1), '') AS code FROM documents")
 def codes_in_urls(spark: SparkSession, d: str) -> DataFrame:
     first = F.nullif(F.regexp_extract("url", r"([0-9]{13,20})", 1), F.lit(""))
     return table(spark, d, "documents").select("doc_id", F.nullif(F.regexp_extract(F.coalesce(first, "doc_code"), r"([0-9]{13,20})", 1), F.lit("")).alias("code"))
 
-
-@query("f38_first_mention", "SELECT doc_id, nullif(strpos(lower(text), 'executive engineer'), 0) AS at, CASE WHEN strpos(lower(text), 'executive engineer') > 0 THEN substr(text, CAST(greatest(strpos(lower(text), 'executive engineer') - 20, 1) AS BIGINT), 60) END AS evidence FROM documents")
-def first_mention(spark: SparkSession, d: str) -> DataFrame:
-    """Where a text first names a role, with the passage around it."""
-    at = F.instr(F.lower("text"), "executive engineer")
-    return table(spark, d, "documents").select("doc_id", F.nullif(at, F.lit(0)).cast("bigint").alias("at"), F.when(at > 0, F.substring("text", F.greatest(at - 20, F.lit(1)), F.lit(60))).alias("evidence"))
-
-
-@query("x06_word_overlap", rf"""SELECT p.id AS project_id, len(list_intersect(list_distinct(string_split(lower(p.title_en), ' ')), list_distinct(string_split(lower(p.works_en[1]), ' ')))) AS n_shared FROM {PROJECTS} p WHERE p.title_en IS NOT NULL AND p.works_en[1] IS NOT NULL""")
-def word_overlap(spark: SparkSession, d: str) -> DataFrame:
-    p = A.projects(spark, d).withColumn("w", F.try_element_at("works_en", F.lit(1))).filter("title_en IS NOT NULL AND w IS NOT NULL")
-    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
-    return p.select(F.col("id").alias("project_id"), F.size(F.array_intersect(words("title_en"), words("w"))).cast("bigint").alias("n_shared"))

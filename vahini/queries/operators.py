@@ -26,26 +26,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query(
-    "f02_amounts_in_text",
-    r"""SELECT doc_id, CAST(replace(regexp_extract(text, 'Rs\. ([0-9][0-9,]*)', 1), ',', '') AS DECIMAL(28,6)) AS amount FROM documents WHERE regexp_matches(text, 'Rs\. [0-9]')""",
-)
-def amounts_in_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter(F.col("text").rlike(r"Rs\. [0-9]"))
-    return docs.select("doc_id", money.parse_amount(F.regexp_extract("text", r"(Rs\. [0-9][0-9,]*)", 1)).alias("amount"))
-
-
-@query(
-    "f07_display_amounts",
-    f"""SELECT row_id, CASE WHEN v IS NULL THEN '-' WHEN v >= 10000000 THEN '₹' || rtrim(rtrim(CAST(CAST(round_even(CAST(v / 10000000 AS DECIMAL(38,12)), 2) AS DECIMAL(28,2)) AS VARCHAR), '0'), '.') || ' Cr'
-        WHEN v >= 100000 THEN '₹' || rtrim(rtrim(CAST(CAST(round_even(CAST(v / 100000 AS DECIMAL(38,12)), 2) AS DECIMAL(28,2)) AS VARCHAR), '0'), '.') || ' L' ELSE 'small' END AS shown
-        FROM (SELECT row_id, estimated_value_inr AS v FROM {TENDERS})""",
-)
-def display_amounts(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("estimated_value_inr")
-    return tenders(spark, d).select("row_id", F.when(v.isNull() | (v >= 100_000), money.format_inr(v)).otherwise("small").alias("shown"))
-
-
 @query(
     "f09_value_buckets",
     f"""SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN estimated_value_inr > 0 THEN CAST(floor(ln(CAST(estimated_value_inr AS DOUBLE)) / ln(1.02)) AS BIGINT) END AS bucket FROM {TENDERS}) GROUP BY 1""",
@@ -67,14 +47,6 @@ def code_dates(spark: SparkSession, d: str) -> DataFrame:
     return A.projects(spark, d).select(F.col("id").alias("project_id"), "primary_doc_code", code_date(F.col("primary_doc_code")).alias("code_day"))
 
 
-@query(
-    "f22_normal_names",
-    r"""SELECT DISTINCT ON (id) id, trim(regexp_replace(regexp_replace(lower(canonical_name), '[^\pL\pM\pN]+', ' ', 'g'), '\s+', ' ', 'g')) AS org_form FROM contractors""",
-)
-def normal_names(spark: SparkSession, d: str) -> DataFrame:
-    return A.contractors(spark, d).select("id", text.normal_org(F.col("canonical_name")).alias("org_form"))
-
-
 @query(
     "f24_word_sets",
     rf"""SELECT row_id, coalesce(len(list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^\pL\pM\pN]+', ' ', 'g')), ' '), lambda x: x <> ''))), -1) AS n_words FROM {TENDERS}""",
@@ -122,12 +94,6 @@ def org_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy(F.col("org_hierarchy.department").alias("department"), F.col("org_hierarchy.agency").alias("agency")).agg(F.count("*").alias("n"), F.countDistinct("org_hierarchy.division").alias("n_divisions"))
 
 
-@query("f30_uuid5_keys")
-def uuid_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Name-based UUIDs of tenders; no SQL in DuckDB, tests compare with Python's."""
-    return tenders(spark, d).select("row_id", text.uuid5(NAMESPACE, F.col("source_portal"), F.col("source_tender_id")).alias("key"))
-
-
 def works(spark: SparkSession, d: str) -> DataFrame:
     t = one_per_tender(tenders(spark, d))
     return t.select("id", text.normal_org(F.col("publishing_org")).alias("org"), "title", portal_time(F.col("bid_submission_end")).cast("date").alias("day"), F.col("estimated_value_inr").alias("value"), "status", "publish_date")

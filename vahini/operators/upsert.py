@@ -7,6 +7,7 @@ Everything is one shuffle on the key, whatever the number of kept or merged colu
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,3 +93,20 @@ def override(auto: DataFrame, decisions: DataFrame, keys: list[str], column: str
     """People's decisions before automatic values; NULL decisions decide nothing."""
     d = decisions.filter(F.col(column).isNotNull()).select(*keys, F.col(column).alias("decided_")).dropDuplicates(keys)
     return auto.join(d, keys, "left").withColumn(column, F.coalesce("decided_", column)).drop("decided_")
+
+
+def with_previous(old: DataFrame, batch: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """The batch's values of a column with what they were before (``previous``, NULL for new keys)."""
+    return batch.select(*keys, column).join(old.select(*keys, F.col(column).alias("previous")), keys, "left")
+
+
+def keep_last_good(old: DataFrame, read, keys: list[str], **how) -> tuple[DataFrame, str | None]:
+    """(table, error): ``merge_upsert`` with what ``read()`` gives; the table as it was and the error's kind if it can't be read.
+
+    Only the reading is guarded (a missing or unreadable source); its rows are not run here.
+    """
+    try:
+        batch = read()
+    except AnalysisException as e:
+        return old, e.getCondition() or "unreadable"
+    return merge_upsert(old, batch, keys, **how), None

@@ -84,3 +84,11 @@ def limit(typed: str | int | None, default: int) -> int:
     except ValueError:
         return default
     return n if n >= 0 else default
+
+
+def reject_reason(c: Column, hosts: tuple[str, ...], ending: str) -> Column:
+    """Why an address is not taken: 'no address', 'not https', 'host' or 'no <ending>', else 'accepted'."""
+    return (
+        F.when(c.isNull(), "no address").when(~c.startswith("https://"), "not https").when(~url_on(c, hosts), "host")
+        .when(~c.rlike(rf"(?i)\.{ending}$"), f"no {ending}").otherwise("accepted")
+    )

@@ -93,3 +93,9 @@ def bidders(rows: Column) -> Column:
     return F.when(
         header.isNotNull(), F.transform(listed, lambda r: F.struct(get(r, name).alias("name"), get(r, status).alias("status"), get(r, value).alias("value")))
     )
+
+
+def file_links(pages: DataFrame, column: str, kinds: str = "pdf|zip|xlsx?|docx?") -> DataFrame:
+    """Links to files by their ending, as ``name`` and ``href`` beside the columns of each page."""
+    links = pages.withColumn("link_", F.explode(page_links(column))).filter(F.col("link_.href").rlike(rf"(?i)\.({kinds})$"))
+    return links.select("*", F.col("link_.text").alias("name"), F.col("link_.href").alias("href")).drop("link_")

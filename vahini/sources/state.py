@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vahini.functions.text import safe_cell
+from vahini.session import ensure_checkpoint_dir
 
 SEEN = "map<string,struct<title:string,ref_no:string,closing:string,opening:string,published:string,org_chain:string,source:string,first_seen:string>>"
 DETAILS = "map<string,map<string,string>>"
@@ -86,3 +89,23 @@ def parts_by_size(files: DataFrame, by: str, order: str, size: str, most: int) -
     start = F.struct(F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("out"))
     parts = listed.select(by, "fs", F.aggregate("fs", start, step, lambda a: a["out"]).alias("parts"))
     return parts.select(by, F.explode(F.arrays_zip("fs", "parts")).alias("z")).select(by, f"z.fs.{order}", f"z.fs.{size}", F.col("z.parts").alias("part"))
+
+
+def csv_line(*columns: str) -> Column:
+    """The columns as one line: every cell quoted, none that a spreadsheet would run, '' for NULL."""
+    cell = lambda c: F.concat(F.lit('"'), F.replace(safe_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.concat_ws(",", *[cell(c) for c in columns])
+
+
+class RunLog:
+    """An append-only log of runs in the shared folder; a run that is written again (a retry) replaces its own part."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.path = spark, path or f"{spark.sparkContext.getCheckpointDir()}/runs-{uuid.uuid4().hex}"
+
+    def append(self, rows: DataFrame, run: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/run_no={run}")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("run_no")

@@ -1,10 +1,11 @@
 import pytest
 from compare import duck, rows_of, sql_rows
 
-from vahini.queries import analytics, listing, operators, problems, streams
+from vahini.queries import analytics, landing, lifecycle, listing, operators, problems, streams, texts
 
-QUERIES = {**analytics.QUERIES, **operators.QUERIES, **listing.QUERIES, **problems.QUERIES, **streams.QUERIES}
-SQL = {**analytics.ORACLE_SQL, **operators.ORACLE_SQL, **listing.ORACLE_SQL, **problems.ORACLE_SQL, **streams.ORACLE_SQL}
+MODULES = (analytics, operators, listing, texts, landing, lifecycle, problems, streams)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -32,8 +32,9 @@ def test_upsert_sink_equals_batch(spark, tmp_path):
     land(spark, path, [("a", 5, 5), (None, 7, 7)], s)
     out = str(tmp_path / "out")
     P.upsert_sink(P.read_stream(spark, path, 1), out, ["k"], [], ["last"]).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    last = max(r.v for r in spark.read.parquet(out).select("v").distinct().collect())
-    got = {(r.k, r.last) for r in spark.read.parquet(f"{out}/v={last}").collect()}
+    got = {(r.k, r.last) for r in P.latest(spark, out).collect()}
+    touched = [len(P._folders(spark, f"{out}/{v}")) for v in P._folders(spark, out)]
+    assert len(touched) == 2 and max(touched) <= 2 and P.latest(spark, str(tmp_path / "none")) is None
     whole = spark.read.parquet(path)
     assert got == {(r.k, r.last) for r in merge_upsert(whole.limit(0), whole, ["k"], order=["last"]).collect()} == {("a", 5), ("b", 2), (None, 7)}
 
@@ -43,6 +44,6 @@ def test_transitions_and_windows(spark, tmp_path):
     at = datetime(2026, 1, 1)
     land(spark, path, [("a", "live", at), ("a", "live", at), ("a", None, at), (None, "x", at)], s)
     land(spark, path, [("a", "closed", at + timedelta(days=2))], s)
-    got = P.drain(P.transitions(P.read_stream(spark, path, 1), "k", "st"), "tr")
+    got = P.drain(P.transitions(P.read_stream(spark, path, 1), "k", "st", "at"), "tr")
     assert {tuple(r) for r in got.collect()} in ({("a", None, "live"), ("a", "live", "closed")}, {("a", None, "closed"), ("a", "closed", "live")})
     assert sum(r.n for r in P.drain(P.windowed_counts(P.read_stream(spark, path), "at", ["st"]), "w", "complete").collect()) == 5

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vahini.functions.money import values_close
-from vahini.functions.text import set_ratio
+from vahini.functions.text import set_ratio, word_set
 
 
 def _near_step(c: Column, width: float) -> Column:
@@ -22,8 +22,9 @@ def duplicate_pairs(rows: DataFrame, ratio: float = 90.0, days: int = 1, share:
     """(id_a, id_b), id_a < id_b, for rows(id, org, title, day, value): same organisation, titles alike, days and values close.
 
     Days: both unknown, or at most ``days`` apart. Values: both unknown, or within ``share`` of the greater (zeros never).
-    Rows of one title and organisation with neither day nor value meet all others of the kind. NULL organisations or
-    titles have no duplicates.
+    Rows with neither meet on words: of two titles alike the smaller one's words are in the other but for a tenth, so one
+    of its first words (the longest, one more than a tenth of them) is among the other's. NULL organisations or titles
+    have no duplicates.
     """
     width = max(days, 1) + 1
     day_step = _near_step(F.datediff("day", F.lit("2000-01-01")), width)
@@ -34,12 +35,26 @@ def duplicate_pairs(rows: DataFrame, ratio: float = 90.0, days: int = 1, share:
     here = base.select(F.struct("id", "title", "day", "value").alias("a"), "org", F.coalesce("ds", F.lit(-(2**40))).alias("d"), F.coalesce("vs", F.lit(-(2**40))).alias("v"))
     steps = lambda c: F.when(F.col(c).isNull(), F.array(F.lit(-(2**40)))).otherwise(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
     there = base.select(F.struct("id", "title", "day", "value").alias("b"), "org", F.explode(steps("ds")).alias("d"), "vs").select("b", "org", "d", F.explode(steps("vs")).alias("v"))
-    pairs = here.join(there, ["org", "d", "v"]).filter("a.id < b.id")
+    dated = F.col("ds").isNotNull() | F.col("vs").isNotNull()
+    here, there = here.filter(f"d <> {-(2**40)} OR v <> {-(2**40)}"), there.filter(f"d <> {-(2**40)} OR v <> {-(2**40)}")
+    pairs = here.join(there, ["org", "d", "v"]).filter("a.id < b.id").select("a", "b").unionByName(_by_words(base.filter(~dated), 1 - ratio / 100))
     close_day = F.col("a.day").isNull() | (F.abs(F.datediff("a.day", "b.day")) <= days)
     pairs = pairs.filter(close_day & values_close(F.col("a.value"), F.col("b.value"), share))
     return pairs.filter(set_ratio(F.col("a.title"), F.col("b.title")) >= ratio).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
 
 
+def _by_words(rows: DataFrame, off: float) -> DataFrame:
+    """(a, b), a.id < b.id: rows of one organisation of which one's first words meet the other's words."""
+    words = F.filter(word_set(F.col("title")), lambda w: w != "")
+    longest = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda x: x["w"])
+    one = rows.select("org", F.struct("id", "title", "day", "value").alias("r"), longest.alias("ws"))
+    first = one.select("org", F.col("r").alias("x"), F.explode(F.slice("ws", 1, F.floor(F.size("ws") * off + 1e-9).cast("int") + 1)).alias("w"))
+    every = one.select("org", F.col("r").alias("y"), F.explode("ws").alias("w"))
+    met = first.join(every, ["org", "w"]).filter("x.id <> y.id")
+    swap = F.col("x.id") < F.col("y.id")
+    return met.select(F.when(swap, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(swap, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
+
+
 def counterparts(originals: DataFrame, later: DataFrame, window_days: int = 180, ratio: float = 90.0, share: float = 0.02) -> DataFrame:
     """(id, later_id): for each original the first later row of the same work, each later row used by one original.
 

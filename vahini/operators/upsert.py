@@ -110,3 +110,12 @@ def keep_last_good(old: DataFrame, read, keys: list[str], **how) -> tuple[DataFr
     except AnalysisException as e:
         return old, e.getCondition() or "unreadable"
     return merge_upsert(old, batch, keys, **how), None
+
+
+def merge_parses(rows: DataFrame, key: str, order: str, fields: list[str], union: str) -> DataFrame:
+    """Several readings of one record as one: the first known value of every field in order, and the sorted union of ``union``.
+
+    Blank texts are not known. The readings of one record are few; nothing but the union's distinct values is kept of them.
+    """
+    known = lambda c: F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")
+    return rows.groupBy(key).agg(*[F.min_by(c, F.when(known(c), F.col(order))).alias(c) for c in fields], F.array_sort(F.collect_set(F.when(known(union), F.col(union)))).alias(f"all_{union}"))

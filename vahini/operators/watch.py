@@ -92,3 +92,8 @@ def reject_reason(c: Column, hosts: tuple[str, ...], ending: str) -> Column:
         F.when(c.isNull(), "no address").when(~c.startswith("https://"), "not https").when(~url_on(c, hosts), "host")
         .when(~c.rlike(rf"(?i)\.{ending}$"), f"no {ending}").otherwise("accepted")
     )
+
+
+def relevance(reasons: list[tuple[str, Column]]) -> Column:
+    """The first reason that holds, NULL if none does (an unknown one does not)."""
+    return F.coalesce(*[F.when(hit, F.lit(name)) for name, hit in reasons])

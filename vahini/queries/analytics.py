@@ -92,24 +92,12 @@ def top_contractors(spark: SparkSession, d: str) -> DataFrame:
         FROM {ONE} WHERE status <> 'retendered' OR status IS NULL GROUP BY 1, 2""",
 )
 def floated_value(spark: SparkSession, d: str) -> DataFrame:
-    t = one_per_tender(tenders(spark, d)).filter("status <> 'retendered' OR status IS NULL")
+    t = one_per_tender(tenders(spark, d).select("id", "row_id", "last_seen_at", "status", "publishing_org", "publish_date", "estimated_value_inr")).filter("status <> 'retendered' OR status IS NULL")
     return t.groupBy(F.coalesce("publishing_org", F.lit("")).alias("org"), F.date_format(portal_time(F.col("publish_date")), "yyyy-MM").alias("month")).agg(
         F.count("*").alias("n_tenders"), F.count("estimated_value_inr").alias("n_known"), known_sum(F.col("estimated_value_inr")).alias("total_inr")
     )
 
 
-@query(
-    "a05_contractor_pairs",
-    f"""WITH w AS (SELECT DISTINCT tender_id, contractor_id FROM {AWARDS} WHERE tender_id IS NOT NULL AND contractor_id IS NOT NULL)
-        SELECT a.contractor_id AS contractor_a, b.contractor_id AS contractor_b, count(*) AS n_tenders FROM w a JOIN w b
-        ON a.tender_id = b.tender_id AND a.contractor_id < b.contractor_id GROUP BY 1, 2""",
-)
-def contractor_pairs(spark: SparkSession, d: str) -> DataFrame:
-    w = awards(spark, d).select("tender_id", "contractor_id").dropna().distinct()
-    a, b = w.withColumnRenamed("contractor_id", "contractor_a"), w.withColumnRenamed("contractor_id", "contractor_b")
-    return a.join(b, "tender_id").filter("contractor_a < contractor_b").groupBy("contractor_a", "contractor_b").agg(F.count("*").alias("n_tenders"))
-
-
 @query(
     "a06_award_ratio",
     f"""SELECT a.id AS award_id, a.tender_id, CAST(a.award_value_inr AS DOUBLE) AS award_inr, CAST(t.estimated_value_inr AS DOUBLE) AS estimate_inr,
@@ -205,7 +193,8 @@ def by_scheme(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy(F.coalesce(F.nullif(F.trim("funding_scheme"), F.lit("")), F.lit("(unclassified)")).alias("scheme")).agg(F.count("*").alias("n_tenders"), known_sum(F.col("estimated_value_inr")).alias("total_inr"))
 
 
-BANDS = (("5 Cr and more", 50_000_000), ("1 to 5 Cr", 10_000_000), ("25 L to 1 Cr", 2_500_000), ("5 to 25 L", 500_000), ("under 5 L", 0))
+# Names and least amounts of the bands.
+BANDS = (("100 Cr +", 1_000_000_000), ("10-100 Cr", 100_000_000), ("1-10 Cr", 10_000_000), ("10 L - 1 Cr", 1_000_000), ("< 10 L", 0))
 
 
 @query(
@@ -243,22 +232,6 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
     return t.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(c))
 
 
-@query(
-    "a18_contractor_profiles",
-    f"""SELECT contractor_id, count(*) AS n_contracts, round(avg(CAST(award_value_inr AS DOUBLE)), 2) AS avg_inr, max(CAST({day_sql('award_date')} AS DATE)) AS last_award, count(DISTINCT t.publishing_org) AS n_orgs,
-        coalesce(list_sort(list(DISTINCT t.publishing_org) FILTER (WHERE t.publishing_org IS NOT NULL)), [])::VARCHAR AS orgs
-        FROM {AWARDS} a LEFT JOIN {ONE} t ON a.tender_id = t.id WHERE contractor_id IS NOT NULL GROUP BY 1""",
-)
-def contractor_profiles(spark: SparkSession, d: str) -> DataFrame:
-    t = one_per_tender(tenders(spark, d).select("id", "row_id", "last_seen_at", "publishing_org")).select(F.col("id").alias("tender_id"), "publishing_org")
-    a = awards(spark, d).filter("contractor_id IS NOT NULL").select("contractor_id", "tender_id", "award_value_inr", portal_time(F.col("award_date")).cast("date").alias("day"))
-    # The organisations of a contractor are few; its awards may be many and are never collected.
-    return a.join(t, "tender_id", "left").groupBy("contractor_id").agg(
-        F.count("*").alias("n_contracts"), F.round(F.avg(F.col("award_value_inr").cast("double")), 2).alias("avg_inr"), F.max("day").alias("last_award"), F.countDistinct("publishing_org").alias("n_orgs"),
-        F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set("publishing_org")), ", "), F.lit("]")).alias("orgs"),
-    )
-
-
 @query(
     "a21_facets",
     f"""SELECT 'status' AS facet, coalesce(nullif(lower(trim(status)), ''), '(none)') AS value, count(*) AS n FROM {ONE} GROUP BY 2 UNION ALL
@@ -302,10 +275,10 @@ def project_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j04_events_with_tenders",
-    f"""SELECT e.id AS event_id, e.event_type, t.publishing_org, t.title FROM tender_events e JOIN {ONE} t ON e.tender_id = t.id WHERE e.event_type IN (SELECT DISTINCT event_type FROM tender_events WHERE event_type LIKE '%a%')""",
+    f"""SELECT e.id AS event_id, e.event_type, t.publishing_org, t.title FROM tender_events e JOIN {ONE} t ON e.tender_id = t.id WHERE e.event_type IN ('extension', 'corrigendum', 'cancelled')""",
 )
 def events_with_tenders(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "tender_events").filter(F.col("event_type").contains("a")).select(F.col("id").alias("event_id"), "event_type", "tender_id")
+    e = table(spark, d, "tender_events").filter(F.col("event_type").isin("extension", "corrigendum", "cancelled")).select(F.col("id").alias("event_id"), "event_type", "tender_id")
     t = one_per_tender(tenders(spark, d).select("id", "row_id", "last_seen_at", "publishing_org", "title")).select(F.col("id").alias("tender_id"), "publishing_org", "title")
     return e.join(t, "tender_id").select("event_id", "event_type", "publishing_org", "title")
 
@@ -328,15 +301,6 @@ def orphan_awards(spark: SparkSession, d: str) -> DataFrame:
     return a.agg(F.count("*").alias("n_awards"), F.count_if(F.col("known").isNull()).alias("n_orphans"))
 
 
-@query(
-    "j16_undelivered_events",
-    "SELECT id AS event_id, tender_id, event_type FROM tender_events e WHERE NOT EXISTS (SELECT 1 FROM tender_events o WHERE o.tender_id IS NOT DISTINCT FROM e.tender_id AND o.event_type IS NOT DISTINCT FROM e.event_type AND o.id < e.id)",
-)
-def undelivered(spark: SparkSession, d: str) -> DataFrame:
-    """The first of repeated events; later repeats are not to be delivered again."""
-    return table(spark, d, "tender_events").groupBy("tender_id", "event_type").agg(F.min("id").alias("event_id")).select("event_id", "tender_id", "event_type")
-
-
 @query(
     "w01_latest_per_portal",
     f"SELECT source_portal, row_id, last_seen_at FROM {TENDERS} WHERE source_portal IS NOT NULL AND last_seen_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_portal ORDER BY last_seen_at DESC, row_id) = 1",
@@ -391,7 +355,7 @@ def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """Records of all kinds for the search: (kind, id, title, body, amount, day)."""
     body = lambda *c: F.concat_ws(" ", *c)
-    t = one_per_tender(tenders(spark, d)).select(F.lit("tender").alias("kind"), "id", "title", body("publishing_org", "description", "district").alias("body"), F.col("estimated_value_inr").alias("amount"), portal_time(F.col("publish_date")).cast("date").alias("day"))
+    t = one_per_tender(tenders(spark, d).select("id", "row_id", "last_seen_at", "title", "publishing_org", "description", "district", "estimated_value_inr", "publish_date")).select(F.lit("tender").alias("kind"), "id", "title", body("publishing_org", "description", "district").alias("body"), F.col("estimated_value_inr").alias("amount"), portal_time(F.col("publish_date")).cast("date").alias("day"))
     a = awards(spark, d).select(F.lit("award").alias("kind"), F.col("id").cast("string").alias("id"), F.col("contractor_name_raw").alias("title"), body("work_order_no").alias("body"), F.col("award_value_inr").alias("amount"), portal_time(F.col("award_date")).cast("date").alias("day"))
     c = contractors(spark, d).select(F.lit("contractor").alias("kind"), "id", F.col("canonical_name").alias("title"), body("aliases", "home_district").alias("body"))
     p = projects(spark, d).select(F.lit("project").alias("kind"), "id", F.coalesce("title_en", "title_original").alias("title"), body("municipality", "scheme").alias("body"), F.col("approved_cost_inr").alias("amount"))

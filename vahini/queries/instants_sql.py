@@ -35,6 +35,10 @@ P3_CELLS = " UNION ALL ".join(
     + ["SELECT 'awards', id, 'award_date', award_date, '+05:30' FROM (SELECT DISTINCT ON (id) * FROM awards) WHERE award_date IS NOT NULL"]
 )
 P3_FOUND = f"WITH {instants(P3_CELLS)} SELECT table_name, row_key, field_name, ts_us FROM instants WHERE ts_us IS NOT NULL"
+_SWAPPED = "try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', y_, d_, m_, h_, coalesce(try_cast(nullif(mi, '') AS INT), 0), coalesce(try_cast(nullif(se, '') AS INT), 0)) AS TIMESTAMP)"
+P3_FORMATS = f"""WITH {instants(P3_CELLS)}, named AS (SELECT table_name, field_name, CASE WHEN f = 'n' THEN CASE WHEN length(s) < 12 THEN 's' ELSE 'ms' END WHEN f = 'y' THEN 'ymd' WHEN f = 'c' THEN 'compact' WHEN NOT regexp_matches(mo, '^[0-9]') THEN 'd-mon-y' WHEN ts_us IS NULL THEN 'mdy' ELSE 'dmy' END AS fmt, ts_us IS NULL AS against
+    FROM instants WHERE ts_us IS NOT NULL OR (f = 'd' AND regexp_matches(mo, '^[0-9]') AND (zo = '' OR zo IS NULL OR shift IS NOT NULL) AND {_SWAPPED} IS NOT NULL))
+    SELECT table_name, field_name, fmt, count(*) AS n_values, count(*) FILTER (WHERE against) AS n_against_rule FROM named GROUP BY 1, 2, 3"""
 
 _TEXT = "nullif(lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))), '')"
 _SNAPS = f"""WITH {instants("SELECT *, bid_submission_end AS v, '+05:30' AS zone FROM tender_snapshots")},

@@ -89,7 +89,7 @@ def deadlines(spark: SparkSession, d: str) -> DataFrame:
 )
 def budgeted_details(spark: SparkSession, d: str) -> DataFrame:
     done = table(spark, d, "awards").select(F.col("tender_id").alias("id"))
-    return watch.budgeted(one_per_tender(tenders(spark, d)), done, "id", F.coalesce("estimated_value_inr", F.lit(-1)), 150).select("id", "row_id")
+    return watch.budgeted(one_per_tender(tenders(spark, d).select("id", "row_id", "last_seen_at", "estimated_value_inr")), done, "id", F.coalesce("estimated_value_inr", F.lit(-1)), 150).select("id", "row_id")
 
 
 @query(
@@ -148,7 +148,7 @@ def overview_tiles(spark: SparkSession, d: str) -> DataFrame:
     now = F.lit(NOW).cast("timestamp_ntz")
     ends = portal_time(F.col("bid_submission_end"))
     live = F.col("status") == "live"
-    return one_per_tender(tenders(spark, d)).agg(F.count_if(live).alias("n_live"), F.count_if(live & ends.between(now, now + F.expr("INTERVAL 7 DAYS"))).alias("n_closing"))
+    return one_per_tender(tenders(spark, d).select("id", "row_id", "last_seen_at", "status", "bid_submission_end")).agg(F.count_if(live).alias("n_live"), F.count_if(live & ends.between(now, now + F.expr("INTERVAL 7 DAYS"))).alias("n_closing"))
 
 
 @query(

@@ -68,12 +68,12 @@ def rule_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "f32_work_hashes",
-    rf"""SELECT row_id, sha1(concat_ws('|', trim(regexp_replace(lower(coalesce(publishing_org, '')), '[^\pL\pM\pN]+', ' ', 'g')), coalesce(strftime({day_sql('bid_submission_end')}, '%Y-%m-%d'), ''),
+    rf"""SELECT row_id, sha1(concat_ws('|', trim(regexp_replace(lower(coalesce(publishing_org, '')), '[^\pL\pM\pN]+', ' ', 'g')), coalesce(array_to_string(list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^\pL\pM\pN]+', ' ', 'g')), ' '), lambda x: x <> ''))), ' '), ''), coalesce(strftime({day_sql('bid_submission_end')}, '%Y-%m-%d'), ''),
         coalesce(CAST(CASE WHEN estimated_value_inr > 0 THEN CAST(floor(ln(CAST(estimated_value_inr AS DOUBLE)) / ln(1.02)) AS BIGINT) END AS VARCHAR), ''))) AS work_hash FROM {TENDERS}""",
 )
 def work_hashes(spark: SparkSession, d: str) -> DataFrame:
     parts = (
-        text.normal_org(F.coalesce("publishing_org", F.lit(""))), F.coalesce(F.date_format(portal_time(F.col("bid_submission_end")), "yyyy-MM-dd"), F.lit("")),
+        text.normal_org(F.coalesce("publishing_org", F.lit(""))), F.coalesce(F.array_join(text.word_set(F.col("title")), " "), F.lit("")), F.coalesce(F.date_format(portal_time(F.col("bid_submission_end")), "yyyy-MM-dd"), F.lit("")),
         F.coalesce(money.value_bucket(F.col("estimated_value_inr")).cast("string"), F.lit("")),
     )
     return tenders(spark, d).select("row_id", F.sha1(F.concat_ws("|", *parts)).alias("work_hash"))
@@ -95,7 +95,7 @@ def org_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def works(spark: SparkSession, d: str) -> DataFrame:
-    t = one_per_tender(tenders(spark, d))
+    t = one_per_tender(tenders(spark, d).select("id", "row_id", "last_seen_at", "publishing_org", "title", "bid_submission_end", "estimated_value_inr", "status", "publish_date"))
     return t.select("id", text.normal_org(F.col("publishing_org")).alias("org"), "title", portal_time(F.col("bid_submission_end")).cast("date").alias("day"), F.col("estimated_value_inr").alias("value"), "status", "publish_date")
 
 
@@ -176,36 +176,18 @@ def safe_cells(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.safe_cell(F.col("source")).alias("source"))
 
 
+_OPEN = r"[^\pL\pM\pN_]"
+_SCORE = lambda w: rf"(CASE WHEN regexp_matches(title, '(^|{_OPEN}){w}({_OPEN}|$)') THEN 10 WHEN regexp_matches(title, '(^|{_OPEN}){w}') THEN 6 WHEN contains(title, '{w}') THEN 3 WHEN contains(body, '{w}') THEN 1 ELSE 0 END)"
+
+
 @query(
-    "d10_evidence_links",
-    f"""SELECT project_id, row_id, CAST(score AS DOUBLE) AS score, link_status FROM (SELECT project_id, row_id, least(1.0, round((CASE WHEN s THEN 0.25 ELSE 0 END) + (CASE WHEN v THEN 0.4 ELSE 0 END) + (CASE WHEN a THEN 0.3 ELSE 0 END), 4)) AS score,
-        CASE WHEN s AND v AND a THEN 'linked' WHEN (CASE WHEN s THEN 1 ELSE 0 END) + (CASE WHEN v THEN 1 ELSE 0 END) + (CASE WHEN a THEN 1 ELSE 0 END) >= 2 THEN 'suggested' ELSE 'none' END AS link_status
-        FROM (SELECT p.id AS project_id, t.row_id, coalesce(p.scheme = t.funding_scheme, false) AS s, coalesce(contains(lower(t.title), lower(p.municipality)), false) AS v,
-        coalesce(t.estimated_value_inr BETWEEN p.approved_cost_inr * 0.8 AND p.approved_cost_inr * 1.1, false) AS a FROM {PROJECTS} p JOIN {TENDERS} t ON lower(trim(p.district)) = lower(trim(t.district)))) WHERE link_status <> 'none'""",
+    "d16_ranked_search",
+    f"""WITH c AS (SELECT 'tender' AS kind, id, title AS shown, concat_ws(' ', publishing_org, description, district) AS body, estimated_value_inr AS amount FROM {ONE} UNION ALL SELECT 'award', CAST(id AS VARCHAR), contractor_name_raw, concat_ws(' ', work_order_no), award_value_inr FROM {A.AWARDS}
+            UNION ALL SELECT 'contractor', id, canonical_name, concat_ws(' ', aliases, home_district), NULL FROM {A.CONTRACTORS} UNION ALL SELECT 'project', id, coalesce(title_en, title_original), concat_ws(' ', municipality, scheme), approved_cost_inr FROM {PROJECTS}),
+        l AS (SELECT kind, id, shown, amount, lower(coalesce(shown, '')) AS title, lower(coalesce(body, '')) AS body FROM c WHERE amount >= 1000000),
+        h AS (SELECT kind, id, shown, CAST({_SCORE('water')} + {_SCORE('scheme')} AS BIGINT) AS score FROM l WHERE {_SCORE('water')} > 0 AND {_SCORE('scheme')} > 0 ORDER BY score DESC, shown NULLS FIRST, kind, id LIMIT 80)
+        SELECT kind, id, shown AS title, score, round(100.0 * score / greatest(max(score) OVER (), 1), 2) AS share_of_best FROM h""",
 )
-def evidence_links(spark: SparkSession, d: str) -> DataFrame:
-    p = A.projects(spark, d).select(F.col("id").alias("project_id"), "scheme", "municipality", "approved_cost_inr", F.lower(F.trim("district")).alias("place"))
-    t = tenders(spark, d).select("row_id", "title", "funding_scheme", "estimated_value_inr", F.lower(F.trim("district")).alias("place"))
-    signs = [
-        evidence.Sign("scheme", 0.25, F.col("scheme") == F.col("funding_scheme")),
-        evidence.Sign("village", 0.4, F.lower("title").contains(F.lower("municipality"))),
-        evidence.Sign("amount", 0.3, F.col("estimated_value_inr").between(F.col("approved_cost_inr") * F.lit(0.8).cast("decimal(2,1)"), F.col("approved_cost_inr") * F.lit(1.1).cast("decimal(2,1)"))),
-    ]
-    scored = evidence.score_evidence(p.join(t, "place"), signs, ("scheme", "village", "amount"))
-    return scored.filter("link_status <> 'none'").select("project_id", "row_id", "score", "link_status")
-
-
-@query("d14_source_health")
-def source_health(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshots taken as a run log: a delivery is a run, a portal's part of it succeeded if it has rows."""
-    s = table(spark, d, "tender_snapshots").groupBy(F.col("source_portal").alias("portal"), F.col("snapshot_id").alias("id")).agg(F.max("snapshot_at").alias("finished"), F.count("*").alias("changed"))
-    now = s.agg(F.max("finished").alias("now"))  # one row
-    runs = s.withColumn("started", F.col("finished")).withColumn("ok", F.col("changed") > 0).crossJoin(F.broadcast(now))
-    latest = runs.groupBy("portal").agg(F.max("now").alias("now"))
-    return freshness.source_health(runs, F.col("last_attempt")).join(latest, "portal").select("portal", "last_id", "state", "age_minutes", freshness.relative_age(F.unix_timestamp("now") - F.unix_timestamp("last_success")).alias("age"))
-
-
-@query("d16_ranked_search")
 def ranked_search(spark: SparkSession, d: str) -> DataFrame:
     return search.search(A.corpus(spark, d), "water scheme above 10 lakh")
 
@@ -215,21 +197,6 @@ def search_facets(spark: SparkSession, d: str) -> DataFrame:
     return search.facets(A.corpus(spark, d))
 
 
-@query(
-    "d01_survivor_map",
-    None,
-)
-def survivor_map(spark: SparkSession, d: str) -> DataFrame:
-    """Duplicates across sources as a map from every tender to the survivor (the smallest id of its chain)."""
-    from vahini.operators.graph import components
-
-    pairs = fuzzy.duplicate_pairs(works(spark, d))
-    nodes = pairs.select(F.xxhash64("id_a").alias("a"), F.xxhash64("id_b").alias("b"))
-    ids = pairs.select(F.col("id_a").alias("id")).union(pairs.select("id_b")).distinct().withColumn("node", F.xxhash64("id"))
-    mapped = ids.join(components(nodes), "node")
-    return mapped.join(mapped.groupBy("root").agg(F.min("id").alias("survivor")), "root").select("id", "survivor")
-
-
 @query(
     "tpch_q1",
     """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS count_order

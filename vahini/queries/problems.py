@@ -56,6 +56,6 @@ def p7_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes(spark, sf_dir, ("status",)).groupBy("snapshot_id", "change_kind", "status").agg(F.count("*").alias("n_changes"))
 
 
-ORACLE_SQL: dict[str, str] = {"p3_found": instants_sql.P3_FOUND, "p7_found": instants_sql.P7_FOUND, "p7_change_counts": instants_sql.P7_COUNTS}
+ORACLE_SQL: dict[str, str] = {"p3_found": instants_sql.P3_FOUND, "p3_formats": instants_sql.P3_FORMATS, "p7_found": instants_sql.P7_FOUND, "p7_change_counts": instants_sql.P7_COUNTS}
 
 QUERIES = {"p3_found": p3_found, "p3_formats": p3_formats, "p7_found": p7_found, "p7_change_counts": p7_change_counts}

@@ -13,7 +13,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def u02_process_once(spark: SparkSession, d: str) -> DataFrame:
-    return P.drain(P.once(events(spark, d).select("event_id", "user_id", "event_type", "ts"), ["event_id"], "ts", "3650 days"), "once").select("event_id", "user_id", "event_type")
+    return P.drain(P.once(events(spark, d).select("event_id", "user_id", "event_type", "ts"), ["event_id"], "ts", "7 days"), "once").select("event_id", "user_id", "event_type")
 
 
 def u03_daily_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -27,15 +27,14 @@ def u04_latest_state(spark: SparkSession, d: str) -> DataFrame:
     path = P.shared_path(spark, "latest")
     q = P.upsert_sink(stream, path, ["id"], ["first_seen"], ["last_seen_at", "row_id"]).option("checkpointLocation", P.shared_path(spark, "latest-state"))
     q.trigger(availableNow=True).start().awaitTermination()
-    versions = spark.read.parquet(path)
-    last = versions.agg(F.max("v").alias("m")).first()["m"]
-    return versions.filter(F.col("v") == last).select("id", "status", "last_seen_at")
+    return P.latest(spark, path).select("id", "status", "last_seen_at")
 
 
 def u05_transitions(spark: SparkSession, d: str) -> DataFrame:
     """Changes of a user's event type in the order of arrival."""
-    rows = events(spark, d).select(F.col("user_id").cast("string").alias("user_id"), "event_type")
-    return P.drain(P.transitions(rows, "user_id", "event_type"), "transitions").groupBy("current").agg(F.count("*").alias("n"))
+    rows = events(spark, d).select(F.col("user_id").cast("string").alias("user_id"), "event_type", F.struct("ts", "event_id").alias("at"))
+    rows = rows.withColumn("at", F.concat_ws(" ", F.date_format("at.ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lpad(F.col("at.event_id").cast("string"), 20, "0")))
+    return P.drain(P.transitions(rows, "user_id", "event_type", "at"), "transitions").groupBy("current").agg(F.count("*").alias("n"))
 
 
 def u07_follow_ups(spark: SparkSession, d: str) -> DataFrame:
@@ -49,5 +48,6 @@ ORACLE_SQL = {
     "u02_process_once": "SELECT DISTINCT ON (event_id) event_id, user_id, event_type FROM events",
     "u03_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "u04_latest_state": "SELECT id, status, last_seen_at FROM (SELECT DISTINCT ON (row_id) * FROM tenders) QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_seen_at DESC NULLS LAST, row_id DESC) = 1",
+    "u05_transitions": "SELECT current, count(*) AS n FROM (SELECT event_type AS current, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL) WHERE before IS DISTINCT FROM current GROUP BY 1",
     "u07_follow_ups": "SELECT a.event_id AS id, b.event_id AS later_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 DAY",
 }

@@ -62,9 +62,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as JSON lines under its name; a job's files appear together when it commits."""
+    """Each table as JSON lines, keys sorted, under its name; a job's files appear together when it commits."""
     for name, df in sorted(tables.items()):
-        df.write.mode("overwrite").json(f"{path}/{name}")
+        df.select(*sorted(df.columns)).write.mode("overwrite").json(f"{path}/{name}")
 
 
 def nested_feed(parent: DataFrame, children: dict[str, DataFrame], key: str, order: dict[str, str]) -> DataFrame:

@@ -58,35 +58,55 @@ def later_counterparts(originals: DataFrame, later: DataFrame, key: str, days: i
     return a.join(b, on).select("id", "later_id", "at_a", "at_b")
 
 
-def transitions(events: DataFrame, key: str, state: str) -> DataFrame:
-    """(key, previous, current) whenever a key's state changes, with the last state kept per key."""
+def transitions(events: DataFrame, key: str, state: str, order: str) -> DataFrame:
+    """(key, previous, current) whenever a key's state changes, with the last state kept per key. Within a micro-batch by ``order``."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         last = kept.get[0] if kept.exists else None
         out = []
-        for b in batches:
-            for now in b["state"]:
-                if now is not None and now != last:
-                    out.append((k[0], last, now))
-                    last = now
+        # A key's events of one micro-batch are few.
+        for now in pd.concat(list(batches)).sort_values("at", kind="stable")["state"]:
+            if now is not None and now != last:
+                out.append((k[0], last, now))
+                last = now
         if last is not None:
             kept.update((last,))
         yield pd.DataFrame(out, columns=["key", "previous", "current"])
 
-    rows = events.select(F.col(key).alias("key"), F.col(state).alias("state")).filter("key IS NOT NULL")
+    rows = events.select(F.col(key).alias("key"), F.col(state).alias("state"), F.col(order).alias("at")).filter("key IS NOT NULL")
     return rows.groupBy("key").applyInPandasWithState(step, "key string, previous string, current string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sink(stream: DataFrame, path: str, keys: list[str], keep_first: list[str], order: list[str]):
-    """Keyed latest state, a new version per micro-batch: ``path/v=<batch id>``; a replayed batch writes the same version again."""
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()] if fs.exists(at) else []
+
+
+def latest(spark: SparkSession, path: str, below: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The table that ``upsert_sink`` keeps: of every bucket its last version (before ``below``); None if nothing is there."""
+    held: dict[int, int] = {}
+    for v in sorted(int(x[2:]) for x in _folders(spark, path) if x.startswith("v=")):
+        if below is None or v < below:
+            held |= {int(x[7:]): v for x in _folders(spark, f"{path}/v={v}") if x.startswith("bucket=")}
+    paths = [f"{path}/v={v}/bucket={b}" for b, v in sorted(held.items()) if buckets is None or b in buckets]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def upsert_sink(stream: DataFrame, path: str, keys: list[str], keep_first: list[str], order: list[str], buckets: int = 64):
+    """Keyed latest state in buckets of keys: a micro-batch writes a new version of the buckets it touches, and of no other.
+
+    ``path/v=<batch id>/bucket=<b>``, read with ``latest``; a replayed batch writes the same again.
+    """
     spark = stream.sparkSession
+    number_of = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
-        before = f"{path}/v={number - 1}"
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
-        there = number > 0 and fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
-        old = spark.read.parquet(before) if there else spark.createDataFrame([], batch.schema)
-        merge_upsert(old, batch, keys, keep_first=keep_first, order=order).write.mode("overwrite").parquet(f"{path}/v={number}")
+        touched = [r.b for r in batch.select(number_of.alias("b")).distinct().collect()]  # at most so many as buckets
+        old = latest(spark, path, number, touched)
+        old = spark.createDataFrame([], batch.schema) if old is None else old
+        merged = merge_upsert(old, batch, keys, keep_first=keep_first, order=order).withColumn("bucket", number_of)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
 
     return stream.writeStream.foreachBatch(write)
 

@@ -122,6 +122,10 @@ _GROUPS = """WITH RECURSIVE t AS (SELECT DISTINCT ON (row_id) * FROM tenders),
     members AS (SELECT t.*, g.group_id, coalesce(p.trust_rank, 2147483647) AS trust FROM t JOIN groups g ON t.row_id = g.row_id LEFT JOIN portals p ON t.source_portal = p.source_portal) """
 
 ORACLE_SQL: dict[str, str] = {
+    # Sizes in bytes: which sources fall short is the same for every common measure of size.
+    "p9_found": """WITH s AS (SELECT coalesce(lower(trim(source)), '') AS source, sum(strlen(text)) AS n FROM documents GROUP BY 1), p AS (SELECT DISTINCT ON (plan_id, source) * FROM mix_plan),
+        w AS (SELECT plan_id, source, weight / sum(weight) OVER (PARTITION BY plan_id) AS share, max_repeats FROM p)
+        SELECT w.plan_id, w.source FROM w LEFT JOIN s ON coalesce(lower(trim(w.source)), '') = s.source WHERE coalesce(s.n, 0) * w.max_repeats < w.share * (SELECT sum(n) FROM s)""",
     "p6_found": _GROUPS
     + " UNION ALL ".join(
         f"({q})"

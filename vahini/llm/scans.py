@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,11 +48,21 @@ _NUMBER = re.compile(r"[0-9lIOoSZBbgq|]+(?:[.,/-][0-9lIOoSZBbgq|]+)*")
 _MIXED = re.compile(r"[^\W\d_][0-9@!|$]|[0-9@!|$][^\W\d_]")
 
 
+_GAPS, _ALL_DIGITS, _CAPITALS, _RUNS = re.compile(r"\s{2,}"), re.compile(r"[0-9०-९]+"), re.compile(r"[A-Z][\w.#]*"), re.compile(r"A( A)+")
+_DIGITS, _DIGIT, _LETTER, _SEPARATOR = re.compile(r"\d+"), re.compile(r"\d"), re.compile(r"[a-zA-Z|]"), re.compile(r"[,/]")
+
+
 def shape(line: str) -> str:
-    s = re.sub(r"\s{2,}", "  ", line.strip())
-    s = re.sub(r"[0-9०-९]+", "#", s)
-    s = re.sub(r"[A-Z][\w.#]*", "A", s)
-    return re.sub(r"A( A)+", "A+", s)
+    s = _GAPS.sub("  ", line.strip())
+    return _RUNS.sub("A+", _CAPITALS.sub("A", _ALL_DIGITS.sub("#", s)))
+
+
+def like(a: str, b: str, most: int) -> bool:
+    """At most so many edits apart. Letters that only one has tell most pairs apart: an edit brings in and takes away one at most."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = Counter(a), Counter(b)
+    return (x - y).total() <= most and (y - x).total() <= most and osa(a, b, most) <= most
 
 
 def page_edges(lines: list[str]) -> tuple[list[int], set[int], set[int]]:
@@ -69,14 +80,14 @@ def furniture(lines: list[str], shapes: frozenset[str], near: frozenset[str] = f
     """Indices of headers, footers and page numbers. ``near``: shapes at page edges that are misreadings of furniture shapes."""
     full, found, edges = page_edges(lines)
     sure = {k for k in full if k not in found and shape(lines[k]) in shapes}
-    known = {re.sub(r"\d+", "#", lines[k].strip()) for k in sure}
+    known = {_DIGITS.sub("#", lines[k].strip()) for k in sure}
     for k in full:
         if k in found or k in sure:
             continue
-        text = re.sub(r"\d+", "#", lines[k].strip())
+        text = _DIGITS.sub("#", lines[k].strip())
         if len(text) < 8:
             continue
-        if any(abs(len(text) - len(x)) <= 3 and osa(text, x, max(2, len(x) // 8)) <= max(2, len(x) // 8) for x in known):
+        if any(abs(len(text) - len(x)) <= 3 and like(text, x, max(2, len(x) // 8)) for x in known):
             sure.add(k)
         elif k in edges and len(text) >= 12 and shape(lines[k]) in near:
             sure.add(k)
@@ -113,13 +124,13 @@ def bare_numbers(lines: list[str], full: list[int], sure: set[int]) -> set[int]:
     return set() if in_table else set(backed)
 
 
+@lru_cache(200_000)
 def number(word: str) -> str | None:
     """A misread number set right; None if the word is no number or has nothing misread."""
-    if not re.search(r"\d", word) or not re.search(r"[a-zA-Z|]", word) or not _NUMBER.fullmatch(word):
+    if not _DIGIT.search(word) or not _LETTER.search(word) or not _NUMBER.fullmatch(word):
         return None
-    digits = len(re.findall(r"\d", word))
-    letters = len(re.findall(r"[a-zA-Z|]", word))
-    if letters > digits + 1 and not re.search(r"[,/]", word):
+    digits, letters = len(_DIGIT.findall(word)), len(_LETTER.findall(word))
+    if letters > digits + 1 and not _SEPARATOR.search(word):
         return None
     return word.translate(IN_NUMBERS)
 

@@ -7,8 +7,8 @@ matched, at least ``2 * share * n - n - 1`` neighbouring pairs have both words m
 apart by longer interruptions. An item's shingles are ordered by their number of documents in the whole corpus, rarest
 first; a document that holds ``least`` of m shingles holds one of the first m - least + 1. Candidates are then bounded
 by length and by the number of distinct shared shingles, and verified exactly: the longest common subsequence with the
-item (bit-parallel) over windows of ``WINDOW`` item lengths, and, in longer documents, over all that stands around
-matched shingles, however far apart, so that a passage may be interrupted at any length.
+item (bit-parallel) over windows of ``WINDOW`` item lengths, and, in longer documents, over the fragments of the item
+(``FRAGMENT`` shingles close together), however far apart, so that a passage may be interrupted at any length.
 
 The items go out behind a check of their number, in blocks of ``BLOCK``; each block is one map over the documents and
 nothing of the corpus is shuffled but the shingle counts.
@@ -59,20 +59,27 @@ def best_window(masks: dict[str, int], n: int, text: list[str], window: int = WI
     return max(common(masks, n, text[a : a + size]) for a in range(0, len(text) - size // 2, size // 2))
 
 
-#: Words on each side of a matched shingle that count as around it; a shingle without another one within so many words is chance.
+#: Matched shingles at most so many words apart are of one fragment; so many words on each side of them belong to it too.
 REACH = 4
+#: Distinct shingles that make a fragment; fewer are chance in a long text.
+FRAGMENT = 4
 
 
 def around(shingles: set, text: list[str]) -> list[str]:
-    """The words around those of an item's shingles in a text that stand close to another one."""
-    at = [i for i, pair in enumerate(zip(text, text[1:])) if pair in shingles]
-    near = [i for k, i in enumerate(at) if (k and i - at[k - 1] <= REACH) or (k + 1 < len(at) and at[k + 1] - i <= REACH)]
+    """The words of the fragments of an item in a text."""
+    groups: list[list[int]] = []
+    for i, pair in enumerate(zip(text, text[1:])):
+        if pair in shingles:
+            if not groups or i - groups[-1][-1] > REACH:
+                groups.append([])
+            groups[-1].append(i)
+    near = [i for g in groups if len({(text[i], text[i + 1]) for i in g}) >= FRAGMENT for i in g]
     keep = sorted({j for i in near for j in range(max(0, i - REACH), min(len(text), i + 2 + REACH))})
     return [text[j] for j in keep]
 
 
 def most_in_order(shingles: set, masks: dict[str, int], n: int, text: list[str]) -> int:
-    """The item's words found in order: in a window, or in a long text around its shingles."""
+    """The item's words found in order: in a window, or in the fragments of a long text."""
     got = best_window(masks, n, text)
     return got if len(text) <= WINDOW * n else max(got, common(masks, n, around(shingles, text)))
 

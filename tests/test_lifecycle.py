@@ -53,8 +53,8 @@ def test_amounts_and_days(spark):
 def test_extraction(spark):
     paper = "Administrative approval is accorded by the Chief Engineer, Water Division to works (Construction of rising main and jack well) at Rs. 1,00,000. Parts: Rs. 60,000 and Rs. 20,000. G.R. No: WS-2026/C.R.5"
     docs = spark.createDataFrame([(1, paper), (2, ""), (3, None), (4, "Chief Engineer was told. " * 3_000)], "i int, body string")
-    got = extraction.extract(F.lit(None).cast("string"), F.col("body"), F.lit("https://x/2026000000370.pdf"), "Chief Engineer", [("approval", "approving", 0.9)])
-    rows = {r.i: r for r in docs.select("i", *[c.alias(n) for n, c in got.items()]).collect()}
+    got = extraction.extract(docs, F.lit(None).cast("string"), F.col("body"), F.lit("https://x/2026000000370.pdf"), "Chief Engineer", [("approval", "approving", 0.9)])
+    rows = {r.i: r.facts for r in got.collect()}
     one = rows[1]
     assert (one.kind, one.role, one.total_inr, one.n_parts, one.code) == ("administrative_approval", "approving", Decimal(100000), 2, "2026000000370")
     assert one.doubtful == ["parts differ from total"] and one.missing == [] and one.works == ["Construction of rising main and jack well"] and one.order_number == "WS-2026/C.R.5" and one.office == "Chief Engineer, Water Division"

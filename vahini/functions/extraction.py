@@ -1,8 +1,8 @@
-"""Facts out of the text of an approval document, each with what is missing or doubtful; expressions only."""
+"""Facts out of the text of an approval document, each with what is missing or doubtful; no Python runs over them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vahini.functions.money import text_amounts
@@ -61,25 +61,28 @@ def role(body: Column, name: str, roles: list[tuple[str, str, float]], mentioned
     return F.struct(F.when(here, what).otherwise("none").alias("role"), F.when(here, sure).otherwise(0.0).alias("confidence"), F.when(here, at).otherwise(0).alias("at"))
 
 
-def extract(title: Column, body: Column, url: Column, name: str, roles: list[tuple[str, str, float]]) -> dict[str, Column]:
-    """The record of a document: code, kind, language, theme, total, parts, works, office, order number, what is missing and what is doubtful.
+def extract(papers: DataFrame, title: Column, body: Column, url: Column, name: str, roles: list[tuple[str, str, float]]) -> DataFrame:
+    """The papers with a struct ``facts``: code, kind, language, theme, total, parts, works, office, order number, role, what is missing and what is doubtful.
 
-    The total is the greatest amount of the text; the other amounts are its parts. NULL and short texts give a record in
-    which all is missing.
+    The total is the greatest amount of the text; the other amounts are its parts. NULL and short texts give facts in
+    which all is missing. What several facts need is computed once, as a column on the way.
     """
-    amounts = text_amounts(F.coalesce(body, F.lit("")))
-    total = F.array_max(amounts)
-    parts = F.filter(amounts, lambda a: a < total)
-    summed = F.aggregate(parts, F.lit(0).cast("decimal(38,6)"), lambda s, a: (s + a).cast("decimal(38,6)"))
-    said = role(body, name, roles)
+    text = F.coalesce(body, F.lit(""))
+    way = {"f_amounts": text_amounts(text), "f_role": role(body, name, roles), "f_code": document_code(url, body)}
+    total, said, code = F.array_max("f_amounts"), F.col("f_role"), F.col("f_code")
+    d = papers.select("*", *[c.alias(n) for n, c in way.items()]).select("*", total.alias("f_total"))
+    total = F.col("f_total")
+    d = d.select("*", F.filter("f_amounts", lambda a: a < total).alias("f_parts"))
+    summed = F.aggregate("f_parts", F.lit(0).cast("decimal(38,6)"), lambda s, a: (s + a).cast("decimal(38,6)"))
+    d = d.select("*", summed.alias("f_sum"))
     none = lambda c: F.nullif(c, F.lit(""))
-    readable = F.length(F.trim(F.coalesce(body, F.lit("")))) >= LEAST_CHARS
-    differs = F.coalesce((F.size(parts) > 0) & (F.abs(summed - total) > total * F.lit(TOLERANCE).cast("decimal(3,2)")), F.lit(False))
-    missing = F.array_compact(F.array(F.when(total.isNull(), "total"), F.when(said["role"] == "none", "role"), F.when(document_code(url, body).isNull(), "code")))
-    doubtful = F.array_compact(F.array(F.when(~readable, "no text layer"), F.when(said["role"] == "mentioned", "role not stated"), F.when(differs, "parts differ from total")))
-    return {
-        "code": document_code(url, body), "kind": kind(title, body), "language": script(body), "theme": first_rule(body, list(THEMES), "other"), "total_inr": total, "n_parts": F.size(parts), "parts_inr": summed,
-        "role": said["role"], "confidence": said["confidence"], "evidence": passage(body, said["at"]), "works": F.array_distinct(F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(WORKS), F.lit(1))),
-        "office": none(F.regexp_extract(F.coalesce(body, F.lit("")), OFFICE, 1)), "order_number": none(F.trim(F.regexp_extract(F.coalesce(body, F.lit("")), ORDER_NUMBER, 1))),
-        "readable": readable, "missing": missing, "doubtful": doubtful,
+    readable = F.length(F.trim(text)) >= LEAST_CHARS
+    differs = F.coalesce((F.size("f_parts") > 0) & (F.abs(F.col("f_sum") - total) > total * F.lit(TOLERANCE).cast("decimal(3,2)")), F.lit(False))
+    facts = {
+        "code": code, "kind": kind(title, body), "language": script(body), "theme": first_rule(body, list(THEMES), "other"), "total_inr": total, "n_parts": F.size("f_parts"), "parts_inr": F.col("f_sum"), "differs": differs,
+        "role": said["role"], "confidence": said["confidence"], "evidence": passage(body, said["at"]), "works": F.array_distinct(F.regexp_extract_all(text, F.lit(WORKS), F.lit(1))),
+        "office": none(F.regexp_extract(text, OFFICE, 1)), "order_number": none(F.trim(F.regexp_extract(text, ORDER_NUMBER, 1))), "readable": readable,
+        "missing": F.array_compact(F.array(F.when(total.isNull(), "total"), F.when(said["role"] == "none", "role"), F.when(code.isNull(), "code"))),
+        "doubtful": F.array_compact(F.array(F.when(~readable, "no text layer"), F.when(said["role"] == "mentioned", "role not stated"), F.when(differs, "parts differ from total"))),
     }
+    return d.select(*papers.columns, F.struct(*[c.alias(n) for n, c in facts.items()]).alias("facts"))

@@ -136,7 +136,7 @@ def _top_sql(column: str, name: str, most: int = 10) -> str:
         {_top_sql('publishing_org', 'orgs')}, {_top_sql('city', 'cities')}, {_top_sql('category', 'sectors')},
         n_t AS (SELECT contractor_id, arg_min(v, (-n, -length(v), v)) AS name FROM (SELECT contractor_id, trim(contractor_name_raw) AS v, count(*) AS n FROM x WHERE trim(contractor_name_raw) <> '' GROUP BY 1, 2) GROUP BY 1),
         c_t AS (SELECT contractor_id, string_agg(id || ':' || coalesce(CAST(day AS VARCHAR), '?'), ', ' ORDER BY k) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY contractor_id ORDER BY day DESC NULLS LAST, id DESC) AS k FROM x) WHERE k <= 10 GROUP BY 1)
-        SELECT s.*, n_t.name, orgs, cities, sectors, newest FROM (SELECT contractor_id, count(*) AS n_contracts, count(award_value_inr) AS n_known, CAST(coalesce(sum(award_value_inr), 0) AS DECIMAL(38,2)) AS total_inr, round(avg(CAST(award_value_inr AS DOUBLE)), 2) AS avg_inr, max(day) AS last_award FROM x GROUP BY 1) s
+        SELECT s.*, n_t.name, orgs, cities, sectors, newest FROM (SELECT contractor_id, count(*) AS n_contracts, count(award_value_inr) AS n_known, CAST(coalesce(sum(award_value_inr), 0) AS DECIMAL(38,2)) AS total_inr, (CAST(sum(award_value_inr) * 100 AS BIGINT) // nullif(count(award_value_inr), 0)) / 100.0 AS avg_inr, max(day) AS last_award FROM x GROUP BY 1) s
         LEFT JOIN n_t USING (contractor_id) LEFT JOIN orgs_t USING (contractor_id) LEFT JOIN cities_t USING (contractor_id) LEFT JOIN sectors_t USING (contractor_id) LEFT JOIN c_t USING (contractor_id)""",
 )
 def contractor_profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,7 @@ def contractor_profiles(spark: SparkSession, d: str) -> DataFrame:
     t = one_per_tender(tenders(spark, d).select("id", "row_id", "last_seen_at", "publishing_org", "district", "category")).select(F.col("id").alias("tender_id"), "publishing_org", F.lower(F.trim("district")).alias("city"), "category")
     a = A.awards(spark, d).filter("contractor_id IS NOT NULL").select("id", "contractor_id", "tender_id", "award_value_inr", F.trim("contractor_name_raw").alias("raw"), portal_time(F.col("award_date")).cast("date").alias("day"))
     x = cut(a.join(t, "tender_id", "left"))
-    sums = x.groupBy("contractor_id").agg(F.count("*").alias("n_contracts"), F.count("award_value_inr").alias("n_known"), money.known_sum(F.col("award_value_inr")).alias("total_inr"), F.round(F.avg(F.col("award_value_inr").cast("double")), 2).alias("avg_inr"), F.max("day").alias("last_award"))
+    sums = x.groupBy("contractor_id").agg(F.count("*").alias("n_contracts"), F.count("award_value_inr").alias("n_known"), money.known_sum(F.col("award_value_inr")).alias("total_inr"), (F.expr("CAST(sum(award_value_inr) * 100 AS BIGINT) div nullif(count(award_value_inr), 0)").cast("double") / 100.0).alias("avg_inr"), F.max("day").alias("last_award"))
     names = x.filter("raw <> ''").groupBy("contractor_id", "raw").agg(F.count("*").alias("n")).groupBy("contractor_id").agg(F.min_by("raw", F.struct(-F.col("n"), -F.length("raw"), F.col("raw"))).alias("name"))
     k = F.row_number().over(Window.partitionBy("contractor_id").orderBy(F.col("day").desc_nulls_last(), F.desc("id")))
     newest = x.withColumn("k", k).filter("k <= 10").groupBy("contractor_id").agg(

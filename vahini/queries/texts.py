@@ -228,6 +228,12 @@ def captions(spark: SparkSession, d: str) -> DataFrame:
 
 OFFICE = r"(?i)\b(?:executive|chief|block|accounts) (?:engineer|officer)"
 ROLES = [(r"(?i)administrative approval", "approving", 0.9), (r"(?i)tender committee|sealed e-tender", "tendering", 0.85), (r"(?i)technical sanction", "technical", 0.6)]
+
+
+def papers(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.extract(table(spark, d, "documents").select("doc_id", "text", "url"), F.lit(None).cast("string"), F.col("text"), F.col("url"), OFFICE, ROLES)
+
+
 _A = amounts_sql("coalesce(text, '')")
 _CODE_OF = f"coalesce(nullif(regexp_extract(coalesce(url, ''), '{extraction.CODE}', 1), ''), nullif(regexp_extract(coalesce(text, ''), '{extraction.CODE}', 1), ''))"
 
@@ -245,9 +251,7 @@ _CODE_OF = f"coalesce(nullif(regexp_extract(coalesce(url, ''), '{extraction.CODE
             CASE WHEN len(parts) > 0 AND abs(parts_sum - total) > total * 0.02 THEN 'parts differ from total' END], lambda m: m IS NOT NULL), ',') AS doubtful FROM z""",
 )
 def extracted_papers(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    got = extraction.extract(F.lit(None).cast("string"), F.col("text"), F.col("url"), OFFICE, ROLES)
-    x = docs.select("doc_id", *[c.alias(n) for n, c in got.items() if n in ("code", "kind", "theme", "language", "total_inr", "n_parts", "parts_inr", "role", "missing", "doubtful")])
+    x = papers(spark, d).select("doc_id", *[f"facts.{n}" for n in ("code", "kind", "theme", "language", "total_inr", "n_parts", "parts_inr", "role", "missing", "doubtful")])
     return x.withColumns({"parts_inr": F.col("parts_inr").cast("double"), "missing": F.array_join("missing", ","), "doubtful": F.array_join("doubtful", ",")})
 
 
@@ -268,8 +272,7 @@ def office_evidence(spark: SparkSession, d: str) -> DataFrame:
         nullif(trim(regexp_extract(coalesce(text, ''), '{extraction.ORDER_NUMBER}', 1)), '') AS order_number FROM documents""",
 )
 def works_and_orders(spark: SparkSession, d: str) -> DataFrame:
-    got = extraction.extract(F.lit(None).cast("string"), F.col("text"), F.col("url"), OFFICE, ROLES)
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(got["works"]), "; ").alias("works"), got["office"].alias("office"), got["order_number"].alias("order_number"))
+    return papers(spark, d).select("doc_id", F.array_join(F.array_sort("facts.works"), "; ").alias("works"), "facts.office", "facts.order_number")
 
 
 @query(
@@ -288,9 +291,7 @@ def readable_papers(spark: SparkSession, d: str) -> DataFrame:
 )
 def component_sums(spark: SparkSession, d: str) -> DataFrame:
     """Amounts of a paper below its greatest, summed up against that one."""
-    got = extraction.extract(F.lit(None).cast("string"), F.col("text"), F.col("url"), OFFICE, ROLES)
-    x = table(spark, d, "documents").select("doc_id", got["parts_inr"].alias("p"), got["total_inr"].alias("total_inr"), got["n_parts"].alias("n")).filter("n > 0")
-    return x.select("doc_id", F.col("p").cast("double").alias("parts_inr"), "total_inr", (F.abs(F.col("p") - F.col("total_inr")) > F.col("total_inr") * F.lit(0.02).cast("decimal(3,2)")).alias("differs"))
+    return papers(spark, d).filter("facts.n_parts > 0").select("doc_id", F.col("facts.parts_inr").cast("double").alias("parts_inr"), "facts.total_inr", "facts.differs")
 
 
 _MONEY = "TRY_CAST(json_extract_string(detail, '$.{0}') AS DECIMAL(28,6))"

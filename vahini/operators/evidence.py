@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vahini.operators.pairing import Words, blocks, codes, either_holds, holders, in_slices
+
 
 @dataclass(frozen=True)
 class Sign:
@@ -37,3 +42,48 @@ def score_evidence(pairs: DataFrame, signs: list[Sign], needed: tuple[str, ...])
     strong = sum((F.when(hit(s), 1).otherwise(0) for s in signs if s.strong), F.lit(0))
     status = F.when(sure, "linked").when(strong >= 2, "suggested").otherwise("none")
     return pairs.withColumns({"reasons": reasons, "score": score, "link_status": status})
+
+
+REFERENCE, TOWN, AGENCY, DISTRICT, COMPONENT, SCHEME, MARKED = (1 << i for i in range(7))
+LINKS = "project_id string, row_id bigint, signs int"
+
+
+def district_links(projects: DataFrame, tenders: DataFrame) -> DataFrame:
+    """(project_id, row_id, signs) for pairs of one ``district`` that have a reference or two strong signs; ``signs`` as bits.
+
+    projects(project_id, district, town, code, order_key, scheme, words, marked), tenders(row_id, district, title, digits,
+    plain, funding, agency, words), texts prepared for comparison. A district has by far more pairs than links: its signs
+    are arrays of bits, texts meet on the beginnings of what they may hold. ``marked`` projects carry the bit MARKED.
+    """
+    return in_slices(projects, tenders, "district", "row_id", _links, LINKS)
+
+
+def _links(p: pa.Table, t: pa.Table) -> pa.Table:
+    empty = pa.table({"project_id": pa.array([], pa.string()), "row_id": pa.array([], pa.int64()), "signs": pa.array([], pa.int32())})
+    if not len(p) or not len(t):
+        return empty
+    said = {c: p[c].to_pylist() for c in ("town", "code", "order_key")} | {c: t[c].to_pylist() for c in ("title", "digits", "plain")}
+    sparse = [(TOWN, *either_holds(said["town"], said["title"])), (REFERENCE, *holders(said["code"], said["digits"]))]
+    sparse.append((REFERENCE, *holders([k if k and len(k) >= 8 else None for k in said["order_key"]], said["plain"])))
+    (own, of), (paid, by) = codes(p["scheme"]), codes(t["funding"])
+    schemes = np.zeros((len(own), len(paid)), np.uint8)
+    schemes[either_holds(own, paid)] = 1
+    agency = pc.fill_null(t["agency"], False).to_numpy().astype(np.uint8)
+    marked = pc.fill_null(p["marked"], False).to_numpy().astype(np.int32) * MARKED
+    words, out = Words(p["words"], t["words"]), []
+    for begin, end in blocks(len(p), len(t)):
+        signs = schemes[of][:, by[begin:end]] * np.uint8(SCHEME)
+        strong = (signs > 0).astype(np.uint8)
+        component = words.share(2, begin, end)
+        strong += component
+        strong += agency[None, begin:end]
+        signs += component * np.uint8(COMPONENT)
+        signs += (agency[begin:end] * np.uint8(AGENCY))[None]
+        for bit, i, j in sparse:
+            here = (j >= begin) & (j < end)
+            signs[i[here], j[here] - begin] |= bit
+        strong += (signs & TOWN) > 0
+        i, j = np.nonzero((strong >= 2) | ((signs & REFERENCE) > 0))
+        all_signs = pa.array(signs[i, j].astype(np.int32) | DISTRICT | marked[i])
+        out.append(pa.table({"project_id": p["project_id"].take(pa.array(i)), "row_id": t["row_id"].take(pa.array(j + begin)), "signs": all_signs}))
+    return pa.concat_tables([empty, *out]).combine_chunks()

@@ -7,7 +7,7 @@ import pytest
 from compare import rows_of, sql_rows
 
 from vahini.operators import pairing
-from vahini.queries import lifecycle
+from vahini.queries import lifecycle, listing
 
 PROJECT = "id string, municipality string, district string"
 TENDER = "row_id long, title string, district string"
@@ -78,3 +78,18 @@ def test_texts_in_texts():
     assert {*zip(*map(np.ndarray.tolist, got))} == {(i, j) for i, x in enumerate(some) for j, y in enumerate(more) if x is not None and y is not None and x in y}
     got = pairing.either_holds(some, more)
     assert {*zip(*map(np.ndarray.tolist, got))} == {(i, j) for i, x in enumerate(some) for j, y in enumerate(more) if x and y and (x in y or y in x)}
+
+
+WINNER, FIRM = "id long, contractor_name_raw string", "id string, canonical_name string"
+
+
+def test_w04_names_meet_on_sets_of_words(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    name = lambda most: " ".join(rng.choice(words) for _ in range(rng.randrange(0, most)))
+    firms = [(f"c{i}", name(6)) for i in rng.sample(range(900), 120)] + [("long", " ".join(words)), ("none", None), ("dash", "--"), ("rare", "zz w1")]
+    winners = [(i, name(7)) for i in range(120)] + [(900, " ".join(words[:10])), (901, None), (902, ""), (903, "ZZ"), (904, "nobody")]
+    d = tables(spark, tmp_path, awards=(WINNER, winners), contractors=(FIRM, firms))
+    assert rows_of(listing.best_candidate(spark, d)) == sql_rows(con_of(tmp_path), listing.ORACLE_SQL["w04_best_candidate"])
+    monkeypatch.setattr(listing, "MOST_WORDS", 2)
+    assert rows_of(listing.best_candidate(spark, d)) == sql_rows(con_of(tmp_path), listing.ORACLE_SQL["w04_best_candidate"])

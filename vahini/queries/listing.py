@@ -10,11 +10,14 @@ from vahini.functions.dates import portal_time
 from vahini.operators import watch
 from vahini.queries import analytics as A
 from vahini.queries.analytics import AWARDS, CONTRACTORS, ONE, PROJECTS, TENDERS, counting, day_sql, one_per_tender, tenders
-from vahini.session import table
+from vahini.session import cut, table
 
 QUERIES, ORACLE_SQL = {}, {}
 WATCHES = [("water", "(?i)(water|wss)"), ("roads", "(?i)road"), ("zilla", "(?i)zilla parishad")]
 
+#: A name of more words has too many sets of words.
+MOST_WORDS = 8
+
 
 def query(name: str, sql: str | None = None):
     def keep(f):
@@ -182,16 +185,30 @@ def two_part_order(spark: SparkSession, d: str) -> DataFrame:
 def best_candidate(spark: SparkSession, d: str) -> DataFrame:
     """The contractor whose name shares most words with an award's name.
 
-    Names meet on distinct words; names that are equal meet once. The words of a name are few, so is what a pair needs.
+    Names meet on sets of their words: of the contractors that have such a set, the one of the fewest words is best (any, if the
+    set is the whole name), and the words that the best one shares are such a set. So a word of very many names has one row
+    for a set, not one for every pair of names. Names of more than ``MOST_WORDS`` words meet word by word.
     """
     c = A.contractors(spark, d).filter("canonical_name IS NOT NULL").groupBy(text.word_set(F.col("canonical_name")).alias("cw")).agg(F.min("id").alias("contractor_id"))
     a = A.awards(spark, d).filter("contractor_name_raw IS NOT NULL").select(F.col("id").alias("award_id"), text.word_set(F.col("contractor_name_raw")).alias("aw"))
-    forms = a.select("aw").distinct()
-    pairs = forms.select("aw", F.explode("aw").alias("w")).join(c.select("cw", "contractor_id", F.explode("cw").alias("w")), "w").groupBy("aw", "cw", "contractor_id").agg(F.count("*").alias("both"))
-    least = F.least(F.size("aw"), F.size("cw"))
-    ratio = F.when(F.col("both") == least, 100.0).otherwise(F.round(200.0 * F.col("both") / (F.size("aw") + F.size("cw")), 4))
-    best = pairs.groupBy("aw").agg(F.min(F.struct((-ratio).alias("r"), "contractor_id")).alias("m"))
-    return a.join(best, "aw").select("award_id", "m.contractor_id", (-F.col("m.r")).alias("ratio"))
+    forms = cut(a.select("aw").distinct().select("aw", F.monotonically_increasing_id().alias("form")))
+
+    def ratio(both, x, y):
+        return F.when(both == F.least(x, y), 100.0).otherwise(F.round(200.0 * both / (x + y), 4))
+
+    nothing = F.array(F.struct(F.lit("").alias("s"), F.lit(0).alias("n")))
+    more = lambda w: lambda x: F.struct(F.concat(x["s"], F.lit(" "), w).alias("s"), (x["n"] + 1).alias("n"))
+    sets = lambda ws: F.explode(F.aggregate(ws, nothing, lambda acc, w: F.concat(acc, F.transform(acc, more(w))))).alias("x")
+    few = lambda ws: F.size(ws) <= MOST_WORDS
+    held = c.filter(few("cw")).select("contractor_id", F.size("cw").alias("m"), sets(F.col("cw"))).filter("x.n > 0").groupBy("x.s").agg(F.min(F.struct("m", "contractor_id")).alias("least"), F.min("contractor_id").alias("first"))
+    met = forms.filter(few("aw")).select("form", F.size("aw").alias("k"), sets(F.col("aw"))).select("form", "k", "x.s", "x.n").join(held, "s")
+    whole = F.col("n") == F.col("k")
+    found = met.select("form", F.when(whole, 100.0).otherwise(ratio(F.col("n"), F.col("k"), F.col("least.m"))).alias("ratio"), F.when(whole, F.col("first")).otherwise(F.col("least.contractor_id")).alias("contractor_id"))
+    for some, others in ((forms, c.filter(~few("cw"))), (forms.filter(~few("aw")), c.filter(few("cw")))):
+        pairs = some.select("form", F.size("aw").alias("k"), F.explode("aw").alias("w")).join(others.select("contractor_id", F.size("cw").alias("m"), F.explode("cw").alias("w")), "w").groupBy("form", "k", "contractor_id", "m").agg(F.count("*").alias("both"))
+        found = found.unionByName(pairs.select("form", ratio(F.col("both"), F.col("k"), F.col("m")).alias("ratio"), "contractor_id"))
+    best = found.groupBy("form").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "contractor_id")).alias("m"))
+    return a.join(forms.join(best, "form"), "aw").select("award_id", "m.contractor_id", (-F.col("m.r")).alias("ratio"))
 
 
 @query("f37_codes_in_urls", r"SELECT doc_id, nullif(regexp_extract(coalesce(nullif(regexp_extract(url, '([0-9]{13,20})', 1), ''), doc_code), '([0-9]{13,20})', 1), '') AS code FROM documents")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from compare import rows_of, sql_rows
 
-from vahini.operators import pairing
+from vahini.operators import pairing, resolve
 from vahini.queries import lifecycle, listing
 
 PROJECT = "id string, municipality string, district string"
@@ -80,6 +80,27 @@ def test_texts_in_texts():
     assert {*zip(*map(np.ndarray.tolist, got))} == {(i, j) for i, x in enumerate(some) for j, y in enumerate(more) if x and y and (x in y or y in x)}
 
 
+def test_d03_bounds_leave_the_best_name(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7)))
+    some = [word() for _ in range(25)]
+    name = lambda: sorted({"x", *(rng.choice(some) if rng.random() < 0.6 else word() for _ in range(rng.randrange(0, 5)))})
+    firms = [name() for _ in range(300)] + [["x", "y" * 230], ["x", "ab" * 110]]
+    ids = [f"f{i:03}" for i in rng.sample(range(900), len(firms))]
+    known = resolve.Firms(ids, firms)
+    for words in [name() for _ in range(150)] + [["x", "y" * 220, "z"], ["ab" * 108, "x"]]:
+        worst = min((-resolve.ratio(words, f), i) for i, f in zip(ids, firms))
+        assert known.best(words) == (-worst[0], worst[1])
+
+
+def test_d03_works_out_few_ratios(monkeypatch):
+    asked = []
+    monkeypatch.setattr(resolve, "ratio", lambda a, b, own=resolve.ratio: asked.append(1) or own(a, b))
+    firms = [sorted(["ram", f"{a}{b}ate", f"{b}{a}u"]) for a in ("ko", "la", "mi", "ne", "po", "ru") for b in ("shi", "tha", "vu", "dha", "ghe")]
+    found = resolve.Firms([str(i) for i in range(len(firms))], firms)
+    assert found.best(["koshiate", "koshu", "ram"])[0] > 70 and len(asked) < len(firms) / 2
+
+
 WINNER, FIRM = "id long, contractor_name_raw string", "id string, canonical_name string"
 
 

@@ -33,15 +33,19 @@ def sliced(few: DataFrame, many: DataFrame, key: str, by: str, cells: int) -> tu
 
 def in_slices(few: DataFrame, many: DataFrame, key: str, by: str, read: Callable[[pa.Table, pa.Table], pa.Table], schema: str, cells: int = CELLS) -> DataFrame:
     """What ``read`` makes of the rows of both sides with one key."""
-    a, b = sliced(few, many, key, by, cells)
+    a, b = (x.repartition(_tasks(few), key, "slice") for x in sliced(few, many, key, by, cells))
     return a.groupBy(key, "slice").cogroup(b.groupBy(key, "slice")).applyInArrow(read, schema)
 
 
 def all_pairs(few: DataFrame, many: DataFrame, key: str, by: str, cells: int = CELLS // 8) -> DataFrame:
-    """The join by a key whose pairs are by far more than its rows: the tasks are as many as asked for, not as the rows' bytes would have it."""
-    a, b = sliced(few, many, key, by, cells)
-    tasks = 4 * max(shuffle_partitions(few.sparkSession), few.sparkSession.sparkContext.defaultParallelism)
-    return a.repartition(tasks, key, "slice").join(b.repartition(tasks, key, "slice"), [key, "slice"]).drop("slice")
+    """The join by a key whose pairs are by far more than its rows."""
+    a, b = (x.repartition(_tasks(few), key, "slice") for x in sliced(few, many, key, by, cells))
+    return a.join(b, [key, "slice"]).drop("slice")
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks for the pairs: AQE would have them as few as the rows' bytes ask for."""
+    return 4 * max(shuffle_partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
 
 
 def holders(needles: list[str | None], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vahini.functions.money import values_close
-from vahini.functions.text import set_ratio, word_set
+from vahini.functions.text import set_ratio, sets_ratio, word_set
 
 
 def _near_step(c: Column, width: float) -> Column:
@@ -62,13 +62,19 @@ def counterparts(originals: DataFrame, later: DataFrame, window_days: int = 180,
     taken (then the smallest id), and of two originals that want the same row the earlier has it.
     """
     step = lambda c: F.floor(F.datediff(c, F.lit("2000-01-01")) / window_days).cast("bigint")
-    a = originals.filter("org IS NOT NULL AND title IS NOT NULL AND day IS NOT NULL").select(
-        F.struct("id", "title", "day", "value").alias("a"), "org", F.explode(F.array(step(F.col("day")), step(F.col("day")) + 1)).alias("s")
-    )
-    b = later.filter("org IS NOT NULL AND title IS NOT NULL AND day IS NOT NULL").select(F.struct("id", "title", "day", "value").alias("b"), "org", step(F.col("day")).alias("s"))
+    # Two values within the share are at most one step apart (of a step a little wider, as logarithms are rounded); NULL meets NULL.
+    unknown = -(2**40)
+    vs = F.when(F.col("value").isNull(), F.lit(unknown)).otherwise(F.floor(F.log(F.col("value").cast("double")) / (-F.log(F.lit(1 - share)) * 1.000001))).cast("bigint")
+    near = F.when(F.col("vs") == unknown, F.array("vs")).otherwise(F.array(F.col("vs") - 1, F.col("vs"), F.col("vs") + 1))
+
+    def side(rows: DataFrame, n: str) -> DataFrame:
+        kept = rows.filter("org IS NOT NULL AND title IS NOT NULL AND day IS NOT NULL").filter("value IS NULL OR value > 0").withColumns({"vs": vs, "words": word_set(F.col("title"))})
+        return kept.select(F.struct("id", "words", "day", "value").alias(n), "org", "vs", step(F.col("day")).alias("s"))
+
+    a = side(originals, "a").withColumn("s", F.explode(F.array(F.col("s"), F.col("s") + 1))).withColumn("vs", F.explode(near))
     gap = F.datediff("b.day", "a.day")
-    pairs = a.join(b, ["org", "s"]).filter((gap >= 0) & (gap <= window_days) & (F.col("a.id") != F.col("b.id")))
-    pairs = pairs.filter(values_close(F.col("a.value"), F.col("b.value"), share)).filter(set_ratio(F.col("a.title"), F.col("b.title")) >= ratio)
-    first = pairs.groupBy("a").agg(F.min(F.struct("b.day", "b.id")).alias("first"))
-    taken = first.groupBy(F.col("first.id").alias("later_id")).agg(F.min(F.struct("a.day", "a.id")).alias("who"))
+    pairs = a.join(side(later, "b"), ["org", "s", "vs"]).filter((gap >= 0) & (gap <= window_days) & (F.col("a.id") != F.col("b.id")))
+    pairs = pairs.filter(values_close(F.col("a.value"), F.col("b.value"), share)).filter(sets_ratio(F.col("a.words"), F.col("b.words")) >= ratio)
+    first = pairs.groupBy(F.col("a.id").alias("id"), F.col("a.day").alias("day")).agg(F.min(F.struct("b.day", "b.id")).alias("first"))
+    taken = first.groupBy(F.col("first.id").alias("later_id")).agg(F.min(F.struct("day", "id")).alias("who"))
     return taken.select(F.col("who.id").alias("id"), "later_id")

@@ -60,7 +60,7 @@ def odd_links(spark, tmp_path_factory):
     return path, tables(spark, path, mjp_projects=(LINK_PROJECT, ODD_PROJECTS + ODD_PROJECTS[:1]), tenders=(LINK_TENDER, ODD_TENDERS + ODD_TENDERS[:1]))
 
 
-@pytest.mark.parametrize("name", ["a27_link_counts", "d10_evidence_links"])
+@pytest.mark.parametrize("name", ["a27_link_counts", "d10_evidence_links", "o07_strongest_links"])
 @pytest.mark.parametrize("cells", [1, 8_000_000])
 def test_links_of_odd_rows_in_slices_of_any_size(spark, odd_links, monkeypatch, name, cells):
     monkeypatch.setattr(pairing.in_slices, "__defaults__", (cells,))

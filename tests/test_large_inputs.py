@@ -60,7 +60,7 @@ def odd_links(spark, tmp_path_factory):
     return path, tables(spark, path, mjp_projects=(LINK_PROJECT, ODD_PROJECTS + ODD_PROJECTS[:1]), tenders=(LINK_TENDER, ODD_TENDERS + ODD_TENDERS[:1]))
 
 
-@pytest.mark.parametrize("name", ["a27_link_counts", "d10_evidence_links", "o07_strongest_links"])
+@pytest.mark.parametrize("name", ["a27_link_counts", "d10_evidence_links", "o07_strongest_links", "d11_decided_links"])
 @pytest.mark.parametrize("cells", [1, 8_000_000])
 def test_links_of_odd_rows_in_slices_of_any_size(spark, odd_links, monkeypatch, name, cells):
     monkeypatch.setattr(pairing.in_slices, "__defaults__", (cells,))
@@ -72,6 +72,11 @@ def test_a27_and_the_others_see_links_and_not_all_pairs(spark, odd_links):
     assert lifecycle.evidence_links(spark, odd_links[1]).filter("link_status = 'none'").isEmpty()
 
 
+def test_d11_links_do_not_meet_the_projects_again(spark, odd_links):
+    plan = lifecycle.decided_links(spark, odd_links[1])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and "FullOuter" not in plan
+
+
 def test_texts_in_texts():
     rng = random.Random(1)
     some = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 12))) for _ in range(60)] + [None, "aba" * 9]

@@ -77,6 +77,35 @@ def test_d11_links_do_not_meet_the_projects_again(spark, odd_links):
     assert "LeftOuter" not in plan and "FullOuter" not in plan
 
 
+@pytest.fixture(scope="module")
+def many_links(spark, tmp_path_factory):
+    rng = random.Random(5)
+    towns, works = ["Rampur", "Rampur Bk", "Sonai", "Devgad", None, ""], [["Sewage treatment plant"], ["Repairs to jack well", "Sewage treatment"], ["Jack well repairs"], None]
+    project = lambda i: (f"p{i:03}", rng.choice(["Nal", "Own", None]), rng.choice(towns), rng.choice([None, "PP-2022/C.R.19/W6"]), f"20260000{i:05}", rng.choice(works), rng.choice(["x", "X ", "y", None]), rng.choice(["mentioned", "unknown", None]))
+    said = lambda: " ".join(rng.choice(["sewage", "treatment", "plant", "jack well", "road", "PP 2022 CR 19 W6", f"20260000{rng.randrange(90):05}"]) for _ in range(rng.randrange(0, 4)))
+    tender = lambda i: (i, rng.choice(["Road", "Works at ", "", None]) and f"Works at {rng.choice(towns)}", said(), rng.choice(["Zilla Parishad", "Other", None]), rng.choice(["nal", "own", None]), rng.choice(["x", "y", "q", None]))
+    path = tmp_path_factory.mktemp("many")
+    return path, tables(spark, path, mjp_projects=(LINK_PROJECT, [project(i) for i in range(90)]), tenders=(LINK_TENDER, [tender(i) for i in range(220)]))
+
+
+@pytest.mark.parametrize("name", ["d10_evidence_links"])
+@pytest.mark.parametrize("cells", [300, 8_000_000])
+def test_links_of_classes_with_single_pairs(spark, many_links, monkeypatch, name, cells):
+    monkeypatch.setattr(pairing.in_slices, "__defaults__", (cells,))
+    path, d = many_links
+    got, lists = rows_of(lifecycle.QUERIES[name](spark, d)), lifecycle.listed_links(spark, d)
+    assert got == sql_rows(con_of(path), lifecycle.ORACLE_SQL[name])
+    assert 0 < lists.filter("size(project_ids) > 1 AND size(row_ids) > 1").count() and lists.count() < len(got[1])
+
+
+def test_d10_alike_pairs_are_one_row(spark, tmp_path):
+    projects = [(f"p{i}", "Nal", "Sonai", None, None, ["Sewage treatment"], "x", None) for i in range(40)]
+    tenders = [(i, "Plant", "Sewage treatment", "Water Board", "Nal", "x" if i else "q") for i in range(51)]
+    d = tables(spark, tmp_path, mjp_projects=(LINK_PROJECT, projects), tenders=(LINK_TENDER, tenders))
+    (one,) = lifecycle.listed_links(spark, d).collect()
+    assert (len(one.project_ids), len(one.row_ids)) == (40, 50)
+
+
 def test_texts_in_texts():
     rng = random.Random(1)
     some = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 12))) for _ in range(60)] + [None, "aba" * 9]

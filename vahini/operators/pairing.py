@@ -21,19 +21,24 @@ CELLS = 8_000_000
 HEAD = 6
 
 
-def sliced(few: DataFrame, many: DataFrame, key: str, by: str, cells: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a column ``slice`` for their equal keys; ``many`` is sliced by a hash of the column ``by``. NULL keys meet nothing."""
+def sliced(few: DataFrame, many: DataFrame, key: str, by: str, cells: int, counted: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``slice`` for their equal keys; ``many`` is sliced by a hash of the column ``by``. NULL keys meet nothing.
+
+    ``counted``: the keys of both sides as they are cheap to read, repeats included, as they only tell how many slices to make.
+    """
     few, many = few.filter(F.col(key).isNotNull()), many.filter(F.col(key).isNotNull())
-    n = many.groupBy(key).agg(F.count("*").alias("n_many")).join(few.groupBy(key).agg(F.count("*").alias("n_few")), key)
+    fewer, more = (x.filter(F.col(key).isNotNull()).groupBy(key) for x in counted or (few, many))
+    n = more.agg(F.count("*").alias("n_many")).join(fewer.agg(F.count("*").alias("n_few")), key)
     n = n.select(key, (F.floor(F.col("n_many") * F.col("n_few") / cells) + 1).cast("int").alias("slices"))
     a = few.join(n, key).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
     b = many.join(n, key).withColumn("slice", F.pmod(F.xxhash64(by), F.col("slices")).cast("int")).drop("slices")
     return a, b
 
 
-def in_slices(few: DataFrame, many: DataFrame, key: str, by: str, read: Callable[[pa.Table, pa.Table], pa.Table], schema: str, cells: int = CELLS) -> DataFrame:
-    """What ``read`` makes of the rows of both sides with one key."""
-    a, b = (x.repartition(_tasks(few), key, "slice") for x in sliced(few, many, key, by, cells))
+def in_slices(few: DataFrame, many: DataFrame, key: str, by: str, read: Callable[[pa.Table, pa.Table], pa.Table], schema: str, cells: int = CELLS, *, counted: tuple[DataFrame, DataFrame] | None = None, prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """What ``read`` makes of the rows of both sides with one key. ``prepare`` is done to rows of ``many`` that meet any, key and slice kept."""
+    a, b = sliced(few, many, key, by, cells, counted)
+    a, b = (x.repartition(_tasks(few), key, "slice") for x in (a, prepare(b)))
     return a.groupBy(key, "slice").cogroup(b.groupBy(key, "slice")).applyInArrow(read, schema)
 
 
@@ -97,7 +102,10 @@ def codes(c: pa.ChunkedArray) -> tuple[list, np.ndarray]:
 
 
 class Words:
-    """Sets of words of two sides: which pairs share so many. Words are numbered by the first side's, others left out."""
+    """Sets of words of two sides: which share so many. Words are numbered by the first side's, others left out.
+
+    ``of`` and ``many_of`` have the number of each row's set on its side.
+    """
 
     def __init__(self, few: pa.ChunkedArray, many: pa.ChunkedArray):
         sets, self.of = codes(pc.binary_join(pc.cast(few, pa.list_(pa.string())), "\u0001"))
@@ -111,20 +119,46 @@ class Words:
         values, at = codes(pa.chunked_array([many.flatten()]))
         known = np.array([self.number.get(v, -1) for v in values], np.int64)[at] if values else np.zeros(0, np.int64)
         rows, keep = np.repeat(np.arange(len(many)), length), known >= 0
-        self.many_row, self.many_word = rows[keep], known[keep]
-
-    def share(self, least: int, begin: int, end: int) -> np.ndarray:
-        """Rows of the first side by rows begin to end of the second."""
-        some = slice(*np.searchsorted(self.many_row, [begin, end]))
-        row, word = self.many_row[some] - begin, self.many_word[some]
-        total = np.zeros((self.n_sets, end - begin), np.float32)
-        wide = max(64, CELLS // max(1, self.n_sets, end - begin))
+        rows, known = rows[keep], known[keep]
+        known = known[np.lexsort((known, rows))]
+        ends = np.cumsum(np.bincount(rows, minlength=len(many)))
+        found: dict[bytes, int] = {}
+        self.many_of = np.array([found.setdefault(known[i:j].tobytes(), len(found)) for i, j in zip([0, *ends[:-1]], ends)], np.int64)
+        self.n_many = len(found)
+        listed = [np.frombuffer(x, np.int64) for x in found]
+        self.many_row, self.many_word = np.repeat(np.arange(len(listed)), [len(x) for x in listed]), np.concatenate([known[:0], *listed])
+
+    def share(self, least: int) -> np.ndarray:
+        """Sets of the first side by sets of the second."""
+        total = np.zeros((self.n_sets, self.n_many), np.float32)
+        wide = max(1, min(len(self.number), max(64, CELLS // max(1, self.n_sets, self.n_many))))
         for w in range(0, len(self.number), wide):
-            a, b = np.zeros((self.n_sets, wide), np.float32), np.zeros((wide, end - begin), np.float32)
-            here, there = (self.word >= w) & (self.word < w + wide), (word >= w) & (word < w + wide)
-            a[self.row[here], self.word[here] - w], b[word[there] - w, row[there]] = 1, 1
+            a, b = np.zeros((self.n_sets, wide), np.float32), np.zeros((wide, self.n_many), np.float32)
+            here, there = (self.word >= w) & (self.word < w + wide), (self.many_word >= w) & (self.many_word < w + wide)
+            a[self.row[here], self.word[here] - w], b[self.many_word[there] - w, self.many_row[there]] = 1, 1
             total += a @ b
-        return (total >= least)[self.of]
+        return total >= least
+
+
+class Classes:
+    """Rows that are alike in all the codes given, as one class: ``of`` has each row's, ``codes`` a class's codes."""
+
+    def __init__(self, *codes: np.ndarray):
+        kinds, self.of = np.unique(np.stack(codes), axis=1, return_inverse=True)
+        self.codes, self.of = list(kinds), self.of.ravel()
+        self.rows = np.argsort(self.of, kind="stable")
+        self.size = np.bincount(self.of, minlength=len(kinds[0]))
+        self.begin = np.cumsum(self.size) - self.size
+
+    def members(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of these classes one after the other, and how many each has."""
+        n = self.size[classes]
+        return self.rows[np.repeat(self.begin[classes] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which are among those known, which are sorted."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
 def blocks(n_few: int, n_many: int, cells: int = CELLS // 2) -> Iterator[tuple[int, int]]:
